@@ -25,6 +25,8 @@ from roadgrain.llm.bpe import VOCAB_DIR, ByteBPE, load
 KINDS = ["inside", "word", "clause", "sentence", "line", "paragraph"]
 CLOSERS = "\"')]}»”’"
 SENTENCE_END, CLAUSE_END = tuple(".!?…。！？؟۔"), tuple(",;:،；，")
+#: Marks after which scripts without blanks may be cut.
+WIDE = tuple("。！？、，；：")
 SCHEMA = "doc_id long, piece_no int, n_pieces int, doc_tokens long, first_token long, n_tokens int, overlap int, cut string, ids array<int>, text string"
 
 
@@ -37,6 +39,8 @@ def strength(before: str, after: str) -> int:
     if breaks == 1:
         return 4
     if not gap:
+        if before.endswith(WIDE):
+            return 3 if before.endswith(SENTENCE_END) else 2
         return 0 if before and after and before[-1].isalnum() and after[0].isalnum() else 1 if before.isspace() or after.isspace() else 0
     end = before.rstrip().rstrip(CLOSERS)
     return 3 if end.endswith(SENTENCE_END) else 2 if end.endswith(CLAUSE_END) else 1
