@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadgrain.plans import problems
+from roadgrain.plans import problems, reference
 from roadgrain.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,8 @@ def shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {k: shipped(f) for k, f in problems.queries().items()}
+    return {k: shipped(f) for k, f in (reference.Q | problems.queries()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.oracle_sql()
+    return reference.SQL | problems.oracle_sql()
