@@ -23,7 +23,7 @@ class Walk:
         self.t += int(r.uniform(15, 40) * 1e6)
 
     def stop(self, n, stray=0.05, sleep=0.0):
-        first = self.id
+        first = self.id - bool(self.truth)  # a drive's last ping is at the next place
         for i in range(n):
             if 0 < i < n - 1 and self.rng.random() < stray:
                 self.ping(self.rng.uniform(2000, 9000), 3000)

@@ -4,7 +4,7 @@ from roadgrain.streaming import live
 
 
 def test_streams(spark, tmp_path):
-    src = spark.range(600).select((F.col("id") % 590).alias("rec_id"), F.timestamp_micros((F.col("id") % 590) * 1_000_000).alias("ts"), F.lit("t").alias("trip_id"), F.lit("d").alias("device_id"), F.lit(2.0).alias("speed_mps"))
+    src = spark.range(600).select((F.col("id") % 590).alias("rec_id"), F.timestamp_micros((F.col("id") % 590 + 1_600_000_020) * 1_000_000).alias("ts"), F.lit("t").alias("trip_id"), F.lit("d").alias("device_id"), F.lit(2.0).alias("speed_mps"))
     src.coalesce(1).write.parquet(str(tmp_path / "in"))
     read = lambda: live.record_stream(spark, tmp_path / "in", src.schema)
     stream = live.first_sendings(read())
