@@ -7,7 +7,7 @@ TESTDATA.md: equal records are written once, the copy of the smallest (fragment_
 
 Defined results: header, blank and broken-off lines are no records; a JSON object without a readable instant is none;
 a null or empty payload gives none; trip_id is read from file_path where it is null, and a record of neither has the
-trip null; a missing speed equals null, and -0.0 equals 0.0; whole repeated fragment rows count once; empty tables give
+trip null; a missing speed equals null, and -0.0 equals 0.0; whole repeated fragment rows count once (``mark_copies`` drops them); empty tables give
 no rows.
 
 Skew: equal records meet in two steps. First copies meet by record and a salt from the fragment; only each salt's first
@@ -44,7 +44,7 @@ def instant_us(text: Column) -> Column:
 
 def fragment_records(fragments: DataFrame) -> DataFrame:
     """(fragment_id, line_no, trip_id, us, lat, lon, speed_mps, n_bytes): one row per readable record."""
-    f = fragments.select("fragment_id", "trip_id", "file_path", "payload").where("payload is not null and trim(payload) <> ''").distinct()
+    f = fragments.select("fragment_id", "trip_id", "file_path", "payload").where("payload is not null and trim(payload) <> ''")
     head = F.regexp_extract("payload", r"^\s*([^\r\n]*)", 1)
     is_json = F.ltrim("payload").startswith("{")
     sep = F.when(head.contains(";"), ";").when(head.contains("\t"), "\t").otherwise(",")
@@ -71,11 +71,18 @@ def fragment_records(fragments: DataFrame) -> DataFrame:
 
 
 def mark_copies(records: DataFrame) -> DataFrame:
-    """Adds ``is_copy``: true on all but the first (fragment_id, line_no) of equal records."""
+    """Adds ``is_copy``: true on all but the first (fragment_id, line_no) of equal records.
+
+    Rows of fragments that stand in the input more than once are dropped here, where they lie side by side anyway, so
+    that payloads are never shuffled.
+    """
     same = ["trip_id", "us", "lat", "lon", "speed_mps"]
     first = [F.col("fragment_id"), F.col("line_no")]
     r = records.withColumn("_salt", F.pmod(F.hash("fragment_id"), F.lit(SALTS)))
-    r = r.withColumn("_r1", F.row_number().over(Window.partitionBy(*same, "_salt").orderBy(*first)))
+    w = Window.partitionBy(*same, "_salt").orderBy(*first)
+    again = F.lag("fragment_id").over(w).eqNullSafe(F.col("fragment_id")) & F.lag("line_no").over(w).eqNullSafe(F.col("line_no"))
+    r = r.withColumn("_again", again).where("not _again").drop("_again")
+    r = r.withColumn("_r1", F.row_number().over(w))
     # Copies found stay spread by their salt; each salt's first goes to one place (at most SALTS rows).
     r = r.withColumn("_to", F.when(F.col("_r1") == 1, F.lit(-1)).otherwise(F.col("_salt")))
     r = r.withColumn("_r2", F.row_number().over(Window.partitionBy(*same, "_to").orderBy(*first)))
