@@ -163,13 +163,15 @@ def load_simulated(spark: SparkSession, path: str, trip_id: str = "sim", device_
     return df.withColumns({k: F.lit(v) for k, v in (("trip_id", trip_id), ("device_id", device_id)) if k not in df.columns})
 
 
-#: providers' names of the canonical fields and the unit factor to SI where theirs differs.
+#: providers' names of the record's columns, with the factor to the record's unit where theirs differs.
 PROVIDERS = {
-    "samsara": {"time": ("timestamp", None), "latitude": ("lat", None), "longitude": ("lon", None), "speedMilesPerHour": ("speed_mps", 0.44704), "headingDegrees": ("heading_deg", None)},
-    "webfleet": {"msg_time": ("timestamp", None), "latitude": ("lat", None), "longitude": ("lon", None), "speed": ("speed_mps", 1 / 3.6), "course": ("heading_deg", None), "odometer": ("odometer_m", 1.0)},
-    "geotab": {"dateTime": ("timestamp", None), "latitude": ("lat", None), "longitude": ("lon", None), "speed": ("speed_mps", 1 / 3.6), "bearing": ("heading_deg", None)},
-    "teltonika": {"timestamp": ("timestamp", None), "position.latitude": ("lat", None), "position.longitude": ("lon", None), "position.speed": ("speed_mps", 1 / 3.6), "position.direction": ("heading_deg", None), "external.powersource.voltage": ("vehicle_voltage_v", None)},
+    "samsara": {"time": ("ts", None), "latitude": ("lat", None), "longitude": ("lon", None), "speed": ("speed_mps", 1 / 3.6), "bearingDeg": ("heading_deg", None), "engineState": ("ignition", None), "odometerMeters": ("odometer_m", None), "engineRpm": ("rpm", None)},
+    "webfleet": {"gpstime": ("ts", None), "lat": ("lat", None), "lon": ("lon", None), "speed": ("speed_mps", 1 / 3.6), "heading": ("heading_deg", None), "ignition": ("ignition", None), "mileage": ("odometer_m", 1000.0)},
+    "geotab": {"dateTime": ("ts", None), "latitude": ("lat", None), "longitude": ("lon", None), "speed": ("speed_mps", 1 / 3.6), "bearing": ("heading_deg", None), "ignition": ("ignition", None), "odometer": ("odometer_m", None), "engineRpm": ("rpm", None)},
+    "teltonika": {"timestamp": ("ts", None), "latitude": ("lat", None), "longitude": ("lon", None), "avl_1": ("speed_mps", 1 / 3.6), "avl_13": ("heading_deg", None), "avl_22": ("altitude_gps_m", None), "avl_239": ("ignition", None), "avl_16": ("odometer_m", None), "avl_10": ("rpm", None), "external.powersource.voltage": ("vehicle_voltage_v", None)},
 }
+#: providers' names of nested-record leaves.
+NESTED_PROVIDER = {"speed": "motion.speed_kph", "heading": "position.heading_deg", "bearing": "position.heading_deg", "latitude": "position.lat", "longitude": "position.lon", "altitude": "position.altitude_m", "fuelLevel": "energy.fuel_pct", "odometer": "powertrain.odometer_km", "engineRpm": "powertrain.rpm", "energyConsumed": "energy.consumed_kwh", "satelliteCount": "quality.num_satellites", "hdop": "quality.hdop", "VIN": "source.device_id", "driverId": "context.fleet.driver_id"}
 
 
 def map_provider(df: DataFrame, provider: str) -> DataFrame:
@@ -181,4 +183,4 @@ def map_provider(df: DataFrame, provider: str) -> DataFrame:
     return df.select(*[(F.col(f"`{k}`") if f is None else F.col(f"`{k}`").try_cast("double") * f).alias(n) for k, (n, f) in m.items()], *rest)
 
 
-__all__ = ["GROUND_TRUTH", "PROVIDERS", "SIMULATED", "load_aegis", "load_pvs", "load_simulated", "load_stride", "load_uah", "map_provider", "positional_join"]
+__all__ = ["GROUND_TRUTH", "NESTED_PROVIDER", "PROVIDERS", "SIMULATED", "load_aegis", "load_pvs", "load_simulated", "load_stride", "load_uah", "map_provider", "positional_join"]

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from roadgrain.functions.geo import haversine_km, haversine_m
 from roadgrain.operators.windows import dt_seconds, seconds_between
+from roadgrain.schema import NESTED_PATHS
 
-#: Leaves of the nested record that completeness is measured on.
-CORE_FIELDS = [
-    "timestamp", "vehicle_id", "position.lat", "position.lon", "position.altitude_m", "motion.speed_mps", "motion.heading_deg",
-    "quality.hdop", "imu.accel.x", "imu.accel.y", "imu.accel.z", "imu.gyro.x", "imu.gyro.y", "imu.gyro.z", "engine.rpm",
-]
+#: Completeness is measured on every leaf of the nested record.
+CORE_FIELDS = list(NESTED_PATHS)
 
 
 def time_summary(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -118,10 +118,16 @@ def runs(df: DataFrame, cond: Column, by: list[str], ts: str = "ts", order: list
     return g.withColumn("duration_s", seconds_between(F.col("start_ts"), F.col("end_ts"))).where(F.col("duration_s") >= least_s).drop("_i")
 
 
+#: Radii (m) below which a curve is of a class; thresholds of our own, as no published ones exist.
+CURVES = [(25.0, "hairpin"), (75.0, "sharp"), (200.0, "moderate"), (1000.0, "gentle")]
+
+
 def curve_radius(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Radius (m) of the circle through the fix before, this one and the next, and a class of it."""
+    """Radius (m) of the circle through the fix before, this one and the next, and its class; null where two coincide."""
     w = _w(by, order)
     k = curvature(*[f(c).over(w) for f, c in ((F.lag, "lat"), (F.lag, "lon"))], F.col("lat"), F.col("lon"), *[F.lead(c).over(w) for c in ("lat", "lon")])
-    x = df.withColumn("radius_m", F.try_divide(F.lit(1.0), F.abs(k)))
-    r = F.col("radius_m")
-    return x.withColumn("curve_class", F.when(k == 0, "straight").when(r.isNull(), None).when(r < 50, "tight").when(r < 200, "medium").when(r < 1000, "wide").otherwise("straight"))
+    x = df.withColumn("_k", k).withColumn("curve_radius_m", F.try_divide(F.lit(1.0), F.abs("_k")))
+    label = F.when(F.col("_k").isNull(), None)
+    for r, name in CURVES:
+        label = label.when(F.col("curve_radius_m") < r, name)
+    return x.withColumn("curve_class", label.otherwise("straight")).drop("_k")

@@ -30,13 +30,19 @@ OPTIONAL = {"core": ["gnss_extra", "obd", "io", "metadata"], "imu": ["gnss_extra
 EXCLUDED = ["road_type", "speed_limit_kmh", "altitude_dem_m", "slope_pct", "event", "lat_matched", "carrier_state", "is_vehicle_data"]
 #: Extended optional groups, dotted names.
 EXTENDED = {
-    "engine": ["engine.rpm", "engine.load_pct", "engine.coolant_temp_c"],
-    "fuel": ["fuel.level_pct", "fuel.rate_lph"],
-    "odometer": ["odometer.total_km", "odometer.trip_km"],
-    "diagnostics": ["diagnostics.dtc_count", "diagnostics.mil_on"],
-    "energy": ["energy.soc_pct", "energy.power_kw"],
+    "engine": ["status", "rpm", "coolant_temp_c", "load_pct", "oil_temp_c"],
+    "fuel": ["level_pct", "rate_lph", "used_l", "range_km", "type"],
+    "odometer": ["total_km", "trip_km", "source"],
+    "diagnostics": ["dtc_count", "mil_status", "obd_voltage_v", "throttle_pct"],
+    "energy": ["battery_level_pct", "battery_voltage_v", "battery_temp_c", "energy_used_kwh", "charging_status"],
+}
+#: Contexts, each a namespace that a reader may ignore.
+CONTEXTS = {
+    "topography": ["slope_deg", "surface_type"],
+    "weather": ["temp_c", "precip_mm"],
+    "road_genome": ["curve_radius_m", "clothoid_k", "risk_index"],
+    "environmental_impact": ["co2_grams", "energy_recovered_kwh"],
 }
-CONTEXTS = ["topography", "weather", "road_genome", "environment"]
 
 LEGACY = {
     "trajectory": T.StructType(_fields([("timestamp_ns", T.LongType(), False), ("lat", D, False), ("lon", D, False), ("alt", F32, True), ("speed_mps", F32, False)])),
@@ -44,23 +50,71 @@ LEGACY = {
     "events": T.StructType(_fields([("timestamp_ns", T.LongType(), False), ("event_type", S, False), ("severity", T.ByteType(), True), ("meta", S, True)])),
 }
 
-_XYZ = T.StructType(_fields([(a, D, True) for a in "xyz"]))
-NESTED = T.StructType(
-    _fields(
-        [
-            ("timestamp", S, False),
-            ("vehicle_id", S, False),
-            ("position", T.StructType(_fields([("lat", D, False), ("lon", D, False), ("altitude_m", D, True)])), False),
-            ("motion", T.StructType(_fields([("speed_kph", D, True), ("speed_mps", D, True), ("heading_deg", D, True)])), True),
-            ("quality", T.StructType(_fields([("hdop", D, True), ("satellites", T.IntegerType(), True)])), True),
-            ("imu", T.StructType(_fields([("accel", _XYZ, True), ("gyro", _XYZ, True), ("mag", _XYZ, True)])), True),
-            ("engine", T.StructType(_fields([("rpm", D, True), ("load_pct", D, True)])), True),
-            ("events", T.ArrayType(T.StructType(_fields([("type", S, True), ("severity", S, True), ("metadata", T.MapType(S, S), True)]))), True),
-            ("context", T.MapType(S, S), True),
-            ("source", T.StructType(_fields([("provider", S, True)])), True),
-        ]
-    )
-)
+#: Leaves of the nested record: path -> (type, least, most, allowed values); required ones end in "!".
+NESTED_LEAVES: dict[str, tuple[str, float | None, float | None, list[str] | None]] = {
+    "timestamp!": ("string", None, None, None),
+    "vehicle_id!": ("string", None, None, None),
+    "position.lat!": ("double", -90, 90, None),
+    "position.lon!": ("double", -180, 180, None),
+    "position.altitude_m": ("double", None, None, None),
+    "position.heading_deg": ("double", 0, 360, None),
+    "motion.speed_kph": ("double", 0, None, None),
+    "motion.bearing_deg": ("double", 0, 360, None),
+    "quality.hdop": ("double", None, None, None),
+    "quality.vdop": ("double", None, None, None),
+    "quality.pdop": ("double", None, None, None),
+    "quality.num_satellites": ("int", 0, None, None),
+    "quality.fix_type": ("string", None, None, ["none", "2d", "3d", "dgps", "rtk"]),
+    "imu.accel.x_ms2": ("double", None, None, None),
+    "imu.accel.y_ms2": ("double", None, None, None),
+    "imu.accel.z_ms2": ("double", None, None, None),
+    "imu.gyro.x_rads": ("double", None, None, None),
+    "imu.gyro.y_rads": ("double", None, None, None),
+    "imu.gyro.z_rads": ("double", None, None, None),
+    "imu.mag.x_ut": ("double", None, None, None),
+    "imu.mag.y_ut": ("double", None, None, None),
+    "imu.mag.z_ut": ("double", None, None, None),
+    "imu.sample_rate_hz": ("double", None, None, None),
+    "powertrain.rpm": ("double", 0, None, None),
+    "powertrain.odometer_km": ("double", 0, None, None),
+    "powertrain.throttle_pct": ("double", 0, 100, None),
+    "powertrain.coolant_temp_c": ("double", None, None, None),
+    "powertrain.battery_voltage_v": ("double", None, None, None),
+    "energy.fuel_pct": ("double", 0, 100, None),
+    "energy.fuel_l": ("double", 0, None, None),
+    "energy.fuel_rate_lph": ("double", 0, None, None),
+    "energy.consumed_kwh": ("double", 0, None, None),
+    "energy.recovered_kwh": ("double", 0, None, None),
+    "energy.state_of_charge_pct": ("double", 0, 100, None),
+    "energy.charging_status": ("string", None, None, ["disconnected", "charging", "charged", "error"]),
+    "energy.energy_source": ("string", None, None, ["ice", "hev", "phev", "bev"]),
+    "events": ("array<struct<event_id:string,type:string,severity:string,start:string,end:string,metadata:map<string,string>>>", None, None, None),
+    "context": ("map<string,map<string,string>>", None, None, None),
+    "source.schema_version": ("string", None, None, ["0.2"]),
+    "source.provider": ("string", None, None, None),
+    "source.device_id": ("string", None, None, None),
+    "source.ingest_timestamp": ("string", None, None, None),
+}
+#: Names without the mark of required ones.
+NESTED_PATHS = {k.rstrip("!"): v for k, v in NESTED_LEAVES.items()}
+NESTED_REQUIRED = [k[:-1] for k in NESTED_LEAVES if k.endswith("!")]
+SEVERITIES = ["low", "medium", "high"]
+
+
+def _nested() -> str:
+    tree: dict = {}
+    for path, (kind, *_) in NESTED_PATHS.items():
+        *above, leaf = path.split(".")
+        node = tree
+        for p in above:
+            node = node.setdefault(p, {})
+        node[leaf] = kind
+    write = lambda n: "struct<" + ",".join(f"{k}:{write(v) if isinstance(v, dict) else v}" for k, v in n.items()) + ">"
+    return write(tree)
+
+
+#: The nested record as a Spark type in DDL; read JSON with it, then ``flatten_structs``.
+NESTED = _nested()
 
 
 def schema_for_profile(profile: str = "imu", include_optional: bool = False) -> T.StructType:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from roadgrain import schema as S
 from roadgrain.errors import AlignmentNotice, FrameError, MeaningError, UnitError
+from roadgrain.functions.scalars import flatten_structs
 from roadgrain.operators.asof import alignment_metrics
 from roadgrain.operators.introspect import presence_exprs
 
@@ -272,16 +273,27 @@ def validate_schema(df: DataFrame, table: str, allow_extra: bool = True, strict_
 
 
 def validate_nested(df: DataFrame) -> DataFrame:
-    """Lazy: counts of broken rules over nested records read with the nested schema."""
-    c = lambda x: F.count_if(x)
-    out = {
-        "no_timestamp": c(F.col("timestamp").isNull()),
-        "no_vehicle_id": c(F.col("vehicle_id").isNull()),
-        "no_position": c(F.col("position").isNull() | F.col("position.lat").isNull() | F.col("position.lon").isNull()),
-        "lat_range": c(~F.col("position.lat").between(-90, 90)),
-        "lon_range": c(~F.col("position.lon").between(-180, 180)),
-    }
-    kinds = dict(df.dtypes)
-    if "motion" in kinds:
-        out["heading_range"] = c(~((F.col("motion.heading_deg") >= 0) & (F.col("motion.heading_deg") < 360)))
-    return df.agg(F.count("*").alias("n_rows"), *[e.alias(k) for k, e in out.items()])
+    """Lazy: one row with a count per broken rule, over records flattened to dotted columns or still nested.
+
+    Required leaves, bounds and allowed values come from the schema; a column that the schema doesn't know counts all
+    its filled rows under ``unknown``. An absent optional field breaks nothing.
+    """
+    flat = flatten_structs(df)
+    have, out = set(flat.columns), {}
+    rows = F.count("*")
+    for path in S.NESTED_REQUIRED:
+        out[f"no_{path}"] = F.count_if(F.col(f"`{path}`").isNull()) if path in have else rows
+    for path, (_, lo, hi, allowed) in S.NESTED_PATHS.items():
+        if path not in have:
+            continue
+        c = F.col(f"`{path}`")
+        if lo is not None or hi is not None:
+            v = c.try_cast("double")
+            out[f"range_{path}"] = F.count_if((v < lo if lo is not None else F.lit(False)) | (v > hi if hi is not None else F.lit(False)))
+        if allowed:
+            out[f"value_{path}"] = F.count_if(~c.isin(allowed))
+    if "events" in have and "severity" in flat.schema["events"].simpleString():
+        out["value_events.severity"] = F.count_if(F.exists("events", lambda e: e["severity"].isNotNull() & ~e["severity"].isin(S.SEVERITIES)))
+    odd = [c for c in flat.columns if c not in S.NESTED_PATHS and c.split(".")[0] != "context"]
+    out["unknown"] = F.sum(sum((F.col(f"`{c}`").isNotNull().cast("int") for c in odd), F.lit(0))) if odd else F.lit(0)
+    return flat.agg(rows.alias("n_rows"), *[e.cast("long").alias(k) for k, e in out.items()])

@@ -121,6 +121,13 @@ def test_named_schemas(spark):
 
 
 def test_nested(spark):
-    rows = spark.createDataFrame([("2025-01-01T00:00:00Z", "v", (45.0, 5.0)), (None, "v", None), ("t", "v", (91.0, 5.0))], "timestamp string, vehicle_id string, position struct<lat: double, lon: double>")
+    rows = spark.createDataFrame(
+        [("2025-01-01T00:00:00Z", "v", (45.0, 5.0), ("3d",), None, 1), (None, "v", None, ("4d",), [("low",)], None), ("t", "v", (91.0, 5.0), None, [("worst",)], None)],
+        "timestamp string, vehicle_id string, position struct<lat: double, lon: double>, quality struct<fix_type: string>, events array<struct<severity: string>>, other int",
+    )
     r = validate_nested(rows).first()
-    assert (r.no_timestamp, r.no_position, r.lat_range) == (1, 1, 1)
+    want = {"no_timestamp": 1, "no_vehicle_id": 0, "no_position.lat": 1, "range_position.lat": 1, "value_quality.fix_type": 1, "value_events.severity": 1, "unknown": 1, "n_rows": 3}
+    assert {k: r[k] for k in want} == want
+    assert validate_nested(rows.drop("position")).first()["no_position.lon"] == 3
+    one = spark.read.schema(S.NESTED[len("struct<") : -1]).json(spark.sparkContext.parallelize(['{"timestamp": "t", "vehicle_id": "v", "position": {"lat": 1, "lon": 2}, "context": {"weather": {"temp_c": "7"}}}']))
+    assert validate_nested(one).first()["no_timestamp"] == 0
