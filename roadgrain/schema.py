@@ -110,7 +110,7 @@ def _nested() -> str:
             node = node.setdefault(p, {})
         node[leaf] = kind
     write = lambda n: "struct<" + ",".join(f"{k}:{write(v) if isinstance(v, dict) else v}" for k, v in n.items()) + ">"
-    return write(tree)
+    return ", ".join(f"{k} {write(v) if isinstance(v, dict) else v}" for k, v in tree.items())
 
 
 #: The nested record as a Spark type in DDL; read JSON with it, then ``flatten_structs``.

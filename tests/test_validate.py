@@ -129,5 +129,5 @@ def test_nested(spark):
     want = {"no_timestamp": 1, "no_vehicle_id": 0, "no_position.lat": 1, "range_position.lat": 1, "value_quality.fix_type": 1, "value_events.severity": 1, "unknown": 1, "n_rows": 3}
     assert {k: r[k] for k in want} == want
     assert validate_nested(rows.drop("position")).first()["no_position.lon"] == 3
-    one = spark.read.schema(S.NESTED[len("struct<") : -1]).json(spark.sparkContext.parallelize(['{"timestamp": "t", "vehicle_id": "v", "position": {"lat": 1, "lon": 2}, "context": {"weather": {"temp_c": "7"}}}']))
+    one = spark.read.schema(S.NESTED).json(spark.sparkContext.parallelize(['{"timestamp": "t", "vehicle_id": "v", "position": {"lat": 1, "lon": 2}, "context": {"weather": {"temp_c": "7"}}}']))
     assert validate_nested(one).first()["no_timestamp"] == 0
