@@ -13,13 +13,13 @@ give no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadgrain.session import hashed
+
 G0 = 9.80665
 
 #: Unit code -> factor to the project's unit, by field; the first is the project's unit.
@@ -133,7 +133,7 @@ def _note_units(note: Column) -> Column:
 
 def told_units(readings: DataFrame, units: DataFrame) -> DataFrame:
     """Long rows (one per present value) with the number, the unit told and by what."""
-    base = readings.select("reading_id", "provider_id", "firmware", "unit_note", *FIELDS).distinct()
+    base = hashed(readings.select("reading_id", "provider_id", "firmware", "unit_note", *FIELDS), "reading_id").distinct()
     base = base.withColumn("_note", _note_units(F.col("unit_note"))).withColumn("_fw", _version(F.col("firmware")))
     long = base.select(
         "reading_id", "provider_id", "_fw", "_note",
@@ -198,14 +198,11 @@ def _fits(num: str, digits: str, raw: str, unit: Column) -> Column:
 def _si(unit: Column) -> Column:
     """The value on the project's scale, for a unit column."""
     n = F.col("_num")
-    lin = reduce(
-        lambda acc, fu: acc.when((F.col("field_name") == fu[0]) & (unit == fu[1]), n * F.lit(float(fu[2]))),
-        [(f, u, k) for f in FIELDS for u, k in FACTORS[f].items() if not (f == "lat" and u in ("ddmm", "dms"))],
-        F.when(F.lit(False), F.lit(0.0)),
-    )
+    table = ", ".join(f"'{f}|{u}', {k!r}D" for f, us in FACTORS.items() for u, k in us.items() if u not in ("ddmm", "dms"))
     whole = F.floor(F.abs(n) / 100)
     packed = F.signum(n) * (whole + (F.abs(n) - whole * 100) / 60)
-    v = F.when(F.col("_dms_value").isNotNull(), F.col("_dms_value")).when((F.col("field_name") == "lat") & (unit == "ddmm"), packed).otherwise(lin)
+    linear = n * F.try_element_at(F.expr(f"map({table})"), F.concat("field_name", F.lit("|"), unit))
+    v = F.when(F.col("_dms_value").isNotNull(), F.col("_dms_value")).when(unit == "ddmm", packed).otherwise(linear)
     return F.when(F.col("_south"), -F.abs(v)).otherwise(v)
 
 
@@ -270,7 +267,7 @@ def resolve_units(readings: DataFrame, units: DataFrame, weak: float = 0.9) -> D
     )
     j = j.withColumn("_scores", F.when(F.col("_told").isNull(), scores)).withColumn("_best", F.array_max("_scores"))
     post = 1 / F.aggregate("_scores", F.lit(0.0), lambda a, s: a + F.exp(s["s"] - F.col("_best.s")))
-    first = reduce(lambda acc, f: acc.when(F.col("field_name") == f, F.lit(next(iter(FACTORS[f])))), FIELDS, F.when(F.lit(False), F.lit("")))
+    first = F.try_element_at(_table({f: next(iter(us)) for f, us in FACTORS.items()}), F.col("field_name"))
     j = j.withColumn("unit_code", F.coalesce("_told", F.col("_best.u"), first)).withColumn("posterior", F.when(F.col("_told").isNotNull(), 1.0).otherwise(post))
     return j.select(
         "reading_id", "field_name", "raw_value", "unit_code", _si(F.col("unit_code")).alias("value"), F.col("_by").alias("told_by"),

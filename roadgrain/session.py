@@ -62,3 +62,26 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(str(out))
     sc._roadgrain_shipped = True
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan is too small to fill them (fewer files than cores, under one split each).
+
+    For expensive work per row on small tables; larger inputs come in enough splits and are left as they are. Only the
+    plan's size estimate and the file list of such a small scan are looked at: no job runs, and no row is lost.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * split or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def hashed(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning by keys into spark.sql.shuffle.partitions parts that are not merged for being small in bytes.
+
+    For expensive work per row or group behind the shuffle, where bytes say little about the work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
