@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgrain.operators.grid import located
+from roadgrain.session import hashed
 
 DAY_US = 86_400_000_000
 EARTH_M = 6_371_000.0
@@ -179,7 +180,7 @@ def find_stops(pings: DataFrame, radius: float = 60.0, least_s: float = 300.0, g
     """(device_id, start_us, end_us, first_ping_id, last_ping_id, lat, lon, n_pings, next_path_m), one row per stop."""
     p = located(pings.where("device_id is not null and ts is not null").select("ping_id", "device_id", "ts", "lat", "lon"))
     p = p.select("device_id", F.unix_micros("ts").alias("us"), "ping_id", "lat", "lon").withColumn("day", F.floor(F.col("us") / DAY_US))
-    p = p.repartition("device_id", "day").dropDuplicates(["device_id", "day", "ping_id"])
+    p = hashed(p, "device_id", "day").dropDuplicates(["device_id", "day", "ping_id"])
     d = p.groupBy("device_id", "day").applyInPandas(_dwell_maker(radius, bridge, int(gap_s * 1e6)), DWELL)
     # A new piece begins at a steady move that opens a day: only compact rows pass this window.
     w = Window.partitionBy("device_id").orderBy("t0", "id0")
