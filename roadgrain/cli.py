@@ -31,24 +31,13 @@ def _validate(a, spark) -> int:
         r = validate(read(spark(), p), a.level if a.level in ("basic", "strict") else "strict", a.profile)
         _say(a, r.as_dict())
         return EXIT_OK if r.ok else EXIT_INVALID
-    m = M.validate_manifest(p)
-    out = {"manifest": {"ok": m.ok, "errors": m.errors, "warnings": m.warnings}}
-    ok = m.ok
-    if not (a.manifest_only or a.level == "manifest"):
-        from roadgrain.sources.readers import read
-
-        meta = M.load_yaml(p)
-        try:
-            df = read(spark(), p)
-        except FileNotFoundError as e:
-            _say(a, out | {"status": "missing", "error": str(e)})
-            return EXIT_MISSING
-        inherited = {c for c, n in (("device_id", M.devices(meta)), ("trip_id", meta.get("trips") or [])) if len(n) == 1}
-        r = validate(df, a.level, a.profile or meta.get("profile"), inherited=inherited)
-        out["data"], ok = r.as_dict(), ok and r.ok
-        if a.level == "full":
-            out["cross_check"] = M.disagreements(df, meta).first().asDict()
-    _say(a, out | {"status": "pass" if ok else "fail"})
+    if a.manifest_only:
+        m, data, cross = M.validate_manifest(p), None, None
+    else:
+        m, data, cross = M.validate_dataset(spark(), p, a.level)
+    ok = m.ok and (data is None or data.ok)
+    out = {"status": "pass" if ok else "fail", "manifest": {"ok": m.ok, "errors": m.errors, "warnings": m.warnings}}
+    _say(a, out | ({"data": data.as_dict()} if data else {}) | ({"cross_check": cross} if cross else {}))
     return EXIT_OK if ok else EXIT_INVALID
 
 

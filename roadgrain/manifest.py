@@ -56,6 +56,13 @@ def check(m: dict, compat: bool = True) -> ManifestReport:
     elif not re.fullmatch(r"[a-z0-9][a-z0-9_-]*", str(m["dataset_id"])):
         (soft if re.fullmatch(r"[a-z0-9][a-z0-9_-]*", str(m["dataset_id"]).lower()) else r.errors).append("dataset_id is not lower case letters, digits, - and _")
     one_of("profile", m.get("profile"), PROFILES)
+    version = m.get("schema_version")
+    if version is None:
+        soft.append("schema_version is absent")
+    elif not re.fullmatch(r"[a-z]+-\d+(?:\.\d+)*", str(version)):
+        r.errors.append("schema_version is no name and dotted number")
+    if not m.get("source"):
+        soft.append("source is absent")
     if m.get("country") is not None and len(str(m["country"])) != 2:
         r.errors.append("country is no two-letter code")
     periods = m.get("acc_periods") or []
@@ -71,10 +78,12 @@ def check(m: dict, compat: bool = True) -> ManifestReport:
     if any(b[0] < a[1] for a, b in zip(spans, spans[1:])):
         r.warnings.append("acc_periods overlap; the first that holds wins")
     for i, s in enumerate(m["sensors"].values() if isinstance(m.get("sensors"), dict) else m.get("sensors") or []):
-        if isinstance(s, dict) and s.get("mode") == "burst" and not (s.get("burst_size") and s.get("burst_rate_hz")):
+        if isinstance(s, dict) and "burst" in (s.get("sampling_mode"), s.get("mode")) and not (s.get("burst_size") and s.get("burst_rate_hz")):
             r.errors.append(f"sensor {i} is in burst mode without burst_size and burst_rate_hz")
         if isinstance(s, dict) and "rate_hz" in s and s["rate_hz"] is None:
             soft.append(f"sensor {i} has a null rate_hz")
+        elif isinstance(s, dict) and "rate_hz" in s and not (isinstance(s["rate_hz"], (int, float)) and s["rate_hz"] > 0):
+            r.errors.append(f"sensor {i} has a rate_hz that is no positive number")
     for i, t in enumerate(m.get("trip_carrier_states") or []):
         one_of(f"trip_carrier_states[{i}]", t.get("carrier_state"), CARRIERS)
         if not t.get("trip_id"):
@@ -132,6 +141,17 @@ def devices(m: dict) -> list[str]:
     return _names(hw.get("devices")) if isinstance(hw, dict) else _names(hw)
 
 
+def trip_names(m: dict) -> list[str]:
+    """Trips that the manifest names, by their carrier states or a plain list."""
+    return list(dict.fromkeys([str(t["trip_id"]) for t in m.get("trip_carrier_states") or [] if t.get("trip_id")] or _names(m.get("trips"))))
+
+
+def config_history(spark: SparkSession, m: dict) -> DataFrame:
+    """(ts, profile, changes): the configuration timeline, to be joined with ``operators.asof.step_value``."""
+    rows = [(str(c.get("timestamp")), c.get("profile"), str(c.get("changes") or {})) for c in m.get("config_history") or []]
+    return spark.createDataFrame(rows, "t string, profile string, changes string").select(F.try_to_timestamp("t").alias("ts"), "profile", "changes")
+
+
 def profile(m: dict) -> str:
     return m.get("profile") or "imu"
 
@@ -163,7 +183,7 @@ def accepted_rows(df: DataFrame, m: dict, paper: str, ts: str = "ts") -> DataFra
 
 def inherit(df: DataFrame, m: dict) -> DataFrame:
     """device_id and trip_id: the row's, else the only device or trip of the manifest, else (trips) the file's name."""
-    out, dev, trips = {}, devices(m), _names(m.get("trips"))
+    out, dev, trips = {}, devices(m), trip_names(m)
     base = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     for c, names in (("device_id", dev), ("trip_id", trips)):
         have = F.col(c) if c in df.columns else F.lit(None).cast("string")
@@ -184,7 +204,7 @@ def inherit(df: DataFrame, m: dict) -> DataFrame:
 
 def disagreements(df: DataFrame, m: dict) -> DataFrame:
     """One row: rows whose own device or trip is not one the manifest names (the row wins, this is a warning)."""
-    dev, trips = devices(m), _names(m.get("trips"))
+    dev, trips = devices(m), trip_names(m)
     f = lambda c, names: F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(names)) if names and c in df.columns else F.lit(0)
     return df.agg(F.count("*").alias("n_rows"), f("device_id", dev).alias("other_device"), f("trip_id", trips).alias("other_trip"))
 
@@ -224,3 +244,28 @@ def verify_sums(folder: str | Path, sums: str = "SHA256SUMS") -> dict[str, bool]
     lines = (Path(folder) / sums).read_text().splitlines()
     pairs = [x.split(maxsplit=1) for x in lines if x.strip()]
     return {n.lstrip("*"): (Path(folder) / n.lstrip("*")).exists() and sha256(Path(folder) / n.lstrip("*")) == d for d, n in pairs}
+
+
+def validate_dataset(spark: SparkSession, path: str | Path, level: str = "basic"):
+    """Action: a dataset's manifest and data under the manifest's profile: (manifest report, data report or None, cross-check).
+
+    What can't be read is an error of the manifest report, never an exception.
+    """
+    from roadgrain.sources.readers import read
+    from roadgrain.validate import validate
+
+    p = Path(path)
+    if p.is_dir():
+        p = next((p / n for n in ("manifest.yaml", "dataset.yaml") if (p / n).exists()), p / "manifest.yaml")
+    m = validate_manifest(p)
+    if level == "manifest" or not p.exists():
+        return m, None, None
+    meta = load_yaml(p)
+    try:
+        df = read(spark, p)
+    except (FileNotFoundError, ValueError) as e:
+        m.errors.append(str(e))
+        return m, None, None
+    inherited = {c for c, names in (("device_id", devices(meta)), ("trip_id", trip_names(meta))) if len(names) == 1}
+    data = validate(df, level, meta.get("profile"), inherited=inherited)
+    return m, data, disagreements(df, meta).first().asDict() if level == "full" else None

@@ -89,9 +89,9 @@ def test_sinks(spark, tmp_path):
 
 
 def test_manifest_rules(tmp_path):
-    ok = {"dataset_id": "fr_a_2025", "profile": "imu", "acc_periods": [{"start": "2025-01-01", "end": "present", "frame": "raw"}]}
+    ok = {"dataset_id": "fr_a_2025", "schema_version": "any-0.8", "source": {"type": "x"}, "profile": "imu", "acc_periods": [{"start": "2025-01-01", "end": "present", "frame": "raw"}]}
     assert M.check(ok).ok
-    for extra in ({"profile": "best"}, {"acc_periods": [{"frame": "partial"}]}, {"sensors": {"accel": {"mode": "burst"}}}, {"dataset_id": None}, {"trip_carrier_states": [{"trip_id": "t", "carrier_state": "flying"}]}, {"data_files": [{"path": "a", "format": "xls"}]}):
+    for extra in ({"profile": "best"}, {"acc_periods": [{"frame": "partial"}]}, {"sensors": {"accel": {"sampling_mode": "burst"}}}, {"sensors": {"accel": {"rate_hz": -1}}}, {"schema_version": "eight"}, {"dataset_id": None}, {"trip_carrier_states": [{"trip_id": "t", "carrier_state": "flying"}]}, {"data_files": [{"path": "a", "format": "xls"}]}):
         assert not M.check(ok | extra).ok, extra
     upper = ok | {"dataset_id": "FR_A", "data_files": [{"path": "a.csv", "format": "csv"}]}
     assert M.check(upper).ok and len(M.check(upper).warnings) == 2 and not M.check(upper, compat=False).ok
@@ -115,10 +115,24 @@ def test_inheritance(spark, tmp_path):
     with pytest.raises(ValueError):
         M.inherit(df, {"dataset_id": "x", "trips": ["t"]})
     assert M.emit("x", own, "core")["volume"]["n_messages"] == 2
+    h = M.config_history(spark, {"config_history": [{"timestamp": "2025-03-15T12:00:01Z", "profile": "p1", "changes": {"a": 1}}]}).first()
+    assert h.profile == "p1" and h.ts is not None and M.trip_names({"trip_carrier_states": [{"trip_id": "a"}]}) == ["a"]
     (tmp_path / "SHA256SUMS").write_text(f"{M.sha256(tmp_path / 'T9.parquet')}  T9.parquet\n")
     assert M.verify_sums(tmp_path) == {"T9.parquet": True}
 
 
+def test_whole_dataset(spark, tmp_path):
+    df = spark.range(5).select(F.timestamp_micros("id").alias("ts"), F.lit(45.0).alias("lat"), F.lit(5.0).alias("lon"), F.lit(1.0).cast("float").alias("speed_mps"))
+    pq.write_table(df.toArrow(), tmp_path / "a.parquet")
+    (tmp_path / "manifest.yaml").write_text("dataset_id: x\nprofile: core\nhardware: {devices: [{name: d}]}\ntrip_carrier_states: [{trip_id: t, carrier_state: desk}]\n")
+    m, data, cross = M.validate_dataset(spark, tmp_path, "full")
+    assert m.ok and data.ok and cross["n_rows"] == 5, (m, data)
+    assert M.validate_dataset(spark, tmp_path / "none")[0].errors
+    assert main(["validate", str(tmp_path), "--level", "strict", "--json"]) == 0
+    (tmp_path / "a.parquet").unlink()
+    assert not M.validate_dataset(spark, tmp_path)[0].ok and main(["validate", str(tmp_path)]) == 1
+
+
 def test_samples(spark, tmp_path):
     d = tmp_path / "s"
     d.mkdir()
