@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadgrain.session import spread
+
 SALTS = 32
 TARGET_BYTES = 128 << 20
 
@@ -44,7 +46,7 @@ def instant_us(text: Column) -> Column:
 
 def fragment_records(fragments: DataFrame) -> DataFrame:
     """(fragment_id, line_no, trip_id, us, lat, lon, speed_mps, n_bytes): one row per readable record."""
-    f = fragments.select("fragment_id", "trip_id", "file_path", "payload").where("payload is not null and trim(payload) <> ''")
+    f = spread(fragments.select("fragment_id", "trip_id", "file_path", "payload")).where("payload is not null and trim(payload) <> ''")
     head = F.regexp_extract("payload", r"^\s*([^\r\n]*)", 1)
     is_json = F.ltrim("payload").startswith("{")
     sep = F.when(head.contains(";"), ";").when(head.contains("\t"), "\t").otherwise(",")
