@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadgrain.session import hashed
+
 #: Low bits that one trie spans: 2^28 us are 268 seconds of one entity.
 HIGH = 28
 
@@ -137,5 +139,5 @@ def nearest_in_time(
     spread = F.array_distinct(F.array(high(F.col("us")), high(F.col("us") - tolerance_us), high(F.col("us") + tolerance_us)))
     r = cols(records, record_id, 0).withColumn("high", F.explode(spread))
     p = cols(points, point_id, 1).withColumn("high", high(F.col("us")))
-    both = r.unionByName(p).repartition("entity", "high").sortWithinPartitions("entity", "high")
+    both = hashed(r.unionByName(p), "entity", "high").sortWithinPartitions("entity", "high")
     return both.mapInPandas(_match(tolerance_us, keep_unmatched), "point_id long, match_id long, delta_us long")
