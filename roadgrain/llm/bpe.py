@@ -21,6 +21,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from roadgrain.session import spread
+
 #: Where the public vocabulary files lie; a parameter of every function that needs one.
 VOCAB_DIR = os.environ.get("ROADGRAIN_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the public pattern of this vocabulary's pre-tokens.
@@ -169,7 +171,7 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pd.DataFrame({id_col: b[id_col], "ids": [enc.encode(t) for t in b[text_col]]})
 
-    d = documents.select(id_col, text_col)
-    # Without distinct there is no shuffle: each text is read where it lies.
+    d = spread(documents.select(id_col, text_col))
+    # Without distinct there is no shuffle but for a scan too small for the cores.
     out = (d.dropDuplicates([id_col]) if distinct else d).mapInPandas(run, f"`{id_col}` long, ids array<int>")
     return out
