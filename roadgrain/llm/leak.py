@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadgrain.session import spread
+
 #: Cyrillic and Greek letters and the Latin ones they are mistaken for.
 LOOKALIKES = str.maketrans(
     "абвгеёзикмнорстухіјѕԁһԛԝүАВЕКМНОРСТУХІЈЅαβεικνορτυχηωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
@@ -226,7 +228,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, join:
                 blocks.append([])
             blocks[-1].append((item, w))
     schema = "doc_id long, item_id long, tile_cover double, carried double"
-    out = None
+    texts, out = spread(documents.select("doc_id", "text").where(F.col("text").isNotNull())), None
     for b in blocks:
         sent = spark.sparkContext.broadcast(b)
 
@@ -236,6 +238,6 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, join:
                 got = [(i, *m) for i, t in zip(d["doc_id"], d["text"]) for m in p.matches(t, share, join)]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "tile_cover", "carried"])
 
-        part = documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, schema)
+        part = texts.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
