@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadgrain.llm.bpe import VOCAB_DIR, ByteBPE, load
+from roadgrain.session import spread
 
 KINDS = ["inside", "word", "clause", "sentence", "line", "paragraph"]
 CLOSERS = "\"')]}»”’"
@@ -120,7 +121,7 @@ def split_documents(documents: DataFrame, limit: int = 512, overlap: int = 64, n
                     rows.append((doc_id, n, len(parts), len(ids), a, z - a, o, kind, ids[a:z], enc.decode(ids[a:z]).decode("utf-8", "replace")))
             yield pd.DataFrame(rows, columns=[re.split(r"\s", c)[0] for c in SCHEMA.split(", ")])
 
-    return documents.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, SCHEMA)
 
 
 def oversized(documents: DataFrame, **kw) -> DataFrame:
