@@ -19,6 +19,9 @@ steady motion, where no stop can be open.
 
 from __future__ import annotations
 
+import math
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -104,8 +107,15 @@ def _dwell_maker(radius: float, bridge: int, gap_us: int):
     return dwells
 
 
+def _metres(lat0: float, lon0: float, lat1: float, lon1: float) -> float:
+    """``metres`` of scalars, without numpy's cost a call."""
+    a, b = math.radians(lat0), math.radians(lat1)
+    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon1 - lon0) / 2) ** 2
+    return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(h)))
+
+
 def _lognormal(s: float, median: float, sigma: float) -> float:
-    return 0.5 * ((np.log(max(s, 1.0)) - np.log(median)) / sigma) ** 2
+    return 0.5 * (math.log(max(s, 1.0) / median) / sigma) ** 2
 
 
 def _decoder(radius: float, least_s: float, gap_s: float):
@@ -126,32 +136,37 @@ def _decoder(radius: float, least_s: float, gap_s: float):
             travel[i] = c
         best = [0.0] + [np.inf] * n
         how: list[tuple[int, bool]] = [(0, False)] * (n + 1)
-        for a in range(n):
-            if best[a] + travel[a] < best[a + 1]:
-                best[a + 1], how[a + 1] = best[a] + travel[a], (a, False)
-            lat, lon, weight = r["lat"][a], r["lon"][a], r["n"][a]
-            off, strays = 0.0, 0
-            for b in range(a, n):
-                here = float(metres(lat, lon, r["lat"][b], r["lon"][b])) <= radius * (1.0 if r["dwell"][b] or r["n"][b] == 1 else 0.5)
-                edge = here and (r["dwell"][b] or r["n"][b] <= 2)
-                if b == a and not edge:
-                    break
-                if edge:
-                    strays = 0
-                    off += OFF * r["n_off"][b]
-                    if b > a and r["dwell"][b]:
-                        w = weight + r["n"][b]
-                        lat, lon, weight = (lat * weight + r["lat"][b] * r["n"][b]) / w, (lon * weight + r["lon"][b] * r["n"][b]) / w, w
-                    span = (r["t1"][b] - r["t0"][a]) / 1e6
-                    if span >= least_s:
-                        cost = best[a] + ENTER + off + min(_lognormal(span, 1800.0, 2.0), 6.0)
-                        if cost < best[b + 1]:
-                            best[b + 1], how[b + 1] = cost, (a, True)
-                else:
-                    strays += 1
-                    off += OFF * r["n"][b] if not r["dwell"][b] else OFF * (r["n"][b] + 1)
-                    if off > 2 * ENTER + 60.0 or strays > 6:
-                        break
+        lats, lons, weights, dwell = r["lat"], r["lon"], r["n"], r["dwell"]
+        border = [d or k <= 2 for d, k in zip(dwell, weights)]
+        near = [radius * (1.0 if d or k == 1 else 0.5) for d, k in zip(dwell, weights)]
+        inside = [OFF * k for k in r["n_off"]]
+        outside = [OFF * (k + d) for d, k in zip(dwell, weights)]
+        # Open stops wait in a heap by what they cost so far. That never falls, so one is carried on over the items it has
+        # not seen only while it could still be the cheapest, and none is given up.
+        waiting: list[tuple] = []
+        for b in range(n):
+            least, way = best[b] + travel[b], (b, False)
+            if border[b]:
+                heappush(waiting, (best[b] + ENTER + inside[b], b, b, True, lats[b], lons[b], weights[b]))
+            seen = []
+            while waiting and waiting[0][0] < least:
+                so_far, a, at, edge, lat, lon, weight = heappop(waiting)
+                while at < b and so_far < least:
+                    at += 1
+                    edge = border[at] and _metres(lat, lon, lats[at], lons[at]) <= near[at]
+                    so_far += inside[at] if edge else outside[at]
+                    if edge and dwell[at]:
+                        w = weight + weights[at]
+                        lat, lon, weight = (lat * weight + lats[at] * weights[at]) / w, (lon * weight + lons[at] * weights[at]) / w, w
+                seen.append((so_far, a, at, edge, lat, lon, weight))
+                span = (r["t1"][b] - r["t0"][a]) / 1e6
+                if at == b and edge and span >= least_s:
+                    cost = so_far + min(_lognormal(span, 1800.0, 2.0), 6.0)
+                    if cost < least:
+                        least, way = cost, (a, True)
+            for x in seen:
+                heappush(waiting, x)
+            best[b + 1], how[b + 1] = least, way
         spans, i = [], n
         while i > 0:
             a, is_stop = how[i]

@@ -75,3 +75,17 @@ def test_static_device_over_many_days(spark):
     rows = [(i, "d", T0 + i * 7_200_000_000, 45.0 + (i % 3) * 1e-5, 179.99999 if i % 2 else -179.99999) for i in range(60)]
     got = [(r.first_ping_id, r.last_ping_id) for r in find_stops(frame(spark, rows)).collect()]
     assert got == [(0, 59)]
+
+
+def test_many_thrown_off_pings_do_not_end_a_stop(spark):
+    w = Walk(5)
+    far = lambda k: w.ping(2000 + 900 * (k % 7), 3000 - 4000 * (k % 2))
+    for i in range(60):
+        w.ping()
+        if i % 4 == 1:  # fifteen single ones
+            far(i)
+    for i in range(3):  # a run that no dwell bridges
+        far(i)
+    for _ in range(40):
+        w.ping()
+    assert [(r.first_ping_id, r.last_ping_id) for r in find_stops(frame(spark, w.rows)).collect()] == [(1, w.id - 1)]
