@@ -6,7 +6,7 @@ quantiles. A reading is the sum of its detail coefficients and its smooth, so on
 usual level has a coefficient beyond ``k / (levels + 1)``: these are the candidates, and the exact distance decides.
 Runs of zero detail (equal neighbours) reveal sticking. Speeds are bounded by zero and by twice the source's reach.
 
-Defined results: repeated rec_ids count once; null and NaN values are skipped; a reading without device takes its trip's
+Defined results: repeated rec_ids count once, in the level, spread and reach as well; null and NaN values are skipped; a reading without device takes its trip's
 device, and one without either belongs to the source null, which is judged as one; a source of zero spread flags every
 value off its level; ties in ts are ordered by rec_id; empty tables give no rows.
 
@@ -21,22 +21,30 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadgrain.session import hashed
+
 BLOCK_US = 600_000_000
 LEVELS = 3
 #: Speed bins: 16 to an octave.
 OCTAVE = 16
 
 
-def series(records: DataFrame, trips: DataFrame, fields: list[str]) -> DataFrame:
-    """Long rows (source, trip_id, field_name, block, us, rec_id, value) of the non-null values."""
+def readings(records: DataFrame, trips: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows (trip_id, block, us, rec_id, source, fields), each rec_id once."""
     dev = trips.select(F.col("trip_id").alias("_t"), F.col("device_id").alias("_d")).where("_t is not null").groupBy("_t").agg(F.min("_d").alias("_d"))
     r = records.select("rec_id", "trip_id", "device_id", F.unix_micros("ts").alias("us"), *fields)
     named = r.where("device_id is not null or trip_id is null").withColumn("_d", F.lit(None).cast("string"))
     # Only rows without a device need the lookup; the others don't shuffle for it.
     r = named.unionByName(r.where("device_id is null and trip_id is not null").join(dev, F.col("trip_id") == F.col("_t"), "left").drop("_t"))
+    r = r.withColumn("source", F.coalesce("device_id", "_d")).withColumn("block", F.floor(F.col("us") / BLOCK_US))
+    # Copies meet on the map side already, so a record sent again and again weighs on no task.
+    return r.groupBy("trip_id", "block", "us", "rec_id", "source").agg(*[F.max(f).alias(f) for f in fields])
+
+
+def series(readings: DataFrame, fields: list[str]) -> DataFrame:
+    """Long rows (source, trip_id, field_name, block, us, rec_id, value) of the non-null values."""
     stack = f"stack({len(fields)}, " + ", ".join(f"'{f}', cast(`{f}` as double)" for f in fields) + ") as (field_name, value)"
-    long = r.select("rec_id", "trip_id", F.coalesce("device_id", "_d").alias("source"), "us", F.expr(stack)).where("value is not null and not isnan(value)")
-    return long.withColumn("block", F.floor(F.col("us") / BLOCK_US))
+    return readings.select("rec_id", "trip_id", "source", "us", "block", F.expr(stack)).where("value is not null and not isnan(value)")
 
 
 def usual(long: DataFrame) -> DataFrame:
@@ -63,9 +71,11 @@ def faults(
     records: DataFrame, trips: DataFrame, fields: tuple[str, ...] = ("ax_mps2", "gx_rad_s", "speed_mps"), speed: str = "speed_mps", k: float = 10.0, run: int = 8, factor: float = 2.0
 ) -> DataFrame:
     """(rec_id, field_name, value, fault): fault is an array of spike, stuck and impossible."""
-    long = series(records, trips, list(fields))
+    once = readings(records, trips, list(fields))
+    long = series(once, list(fields))
     w = Window.partitionBy("trip_id", "field_name", "block").orderBy("us", "rec_id")
-    x = long.withColumn("_again", F.lag("rec_id").over(w)).where("_again is null or _again <> rec_id").drop("_again")
+    # One row a record is shuffled for the windows, not one a field.
+    x = series(hashed(once, "trip_id", "block"), list(fields))
     # Undecimated wavelet: smooth at level j from neighbours 2^j readings away, the ends repeated.
     c = "value"
     for j in range(LEVELS):

@@ -58,3 +58,13 @@ def test_empty_and_unknown_sources(spark):
     assert faults(rows(spark, sample()).limit(0), t).count() == 0
     data = [[i, None, None, None if i == 3 else i, 1.0 + i % 3, float("nan"), None] for i in range(20)]
     assert faults(rows(spark, data), t.limit(0)).count() == 0
+
+
+def test_copies_do_not_weigh_on_what_is_usual(spark):
+    data = sample()
+    data[50][4], data[60][5], data[201][6] = 9.0, -3.0, 60.0
+    t = spark.createDataFrame([("t", "d")], T)
+    want = {(50, "ax_mps2", ("spike",)), (60, "gx_rad_s", ("spike",)), (201, "speed_mps", ("impossible",))}
+    assert found(faults(rows(spark, data), t)) == want
+    for i in (10, 201):  # more than half of the device's rows are one record's copies, a usual or a faulty one
+        assert found(faults(rows(spark, data + [list(data[i]) for _ in range(900)]), t)) == want
