@@ -1,11 +1,11 @@
 """Problem 9: held-out test passages inside a training corpus.
 
-Greedy string tiling. Documents and passages become words of plain writing (markup, entities, look-alike letters,
-invisible characters and case removed). Word triples of the passages are the seeds: a document joins the passages it
-shares seeds with. For each such pair the longest common word runs that don't overlap are marked again and again, found
-by Karp-Rabin hashes of shrinking length, and the tiles' coverage of the passage is held against a threshold; reordered
-and broken passages keep their tiles. A last alignment then asks what the project's definition asks: the share of the
-passage's words carried in order and close together, a word with a small change in its writing counting as itself.
+Documents and passages become words of plain writing (markup, entities, look-alike letters, invisible characters and
+case removed). A document joins the passages of whose words it holds the asked share anywhere, a word with a small
+change in its writing counting as itself: nothing that can be a case is left out. For each such pair an alignment asks
+what the project's definition asks, the share of the passage's words carried in order and close together. Greedy string
+tiling measures the cases: the longest common word runs that don't overlap are marked again and again, found by
+Karp-Rabin hashes of shrinking length; reordered and broken passages keep their tiles.
 
 Defined results: null, blank and empty texts and passages match nothing; the stem plays no part; passages under
 ``least_words`` words are never matched; equal documents are each reported; repeated item rows count once; texts are
@@ -23,7 +23,9 @@ import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +43,6 @@ BROKEN = re.compile(r"(?<=[a-z])-[ \t]*\n[>|: \t]*(?=[a-z])")
 WORD = re.compile(r"[^\W_]+")
 #: Block of passages sent to the workers at once.
 BLOCK = 2000
-SEED = 3
 
 
 def words(text: str | None) -> list[str]:
@@ -156,65 +157,50 @@ def carried(p: list[str], t: list[str], slack: float = 2.0) -> float:
     return best / len(p)
 
 
+def shortened(w: str) -> set[str]:
+    """The word and, if a slip may be forgiven, the word without each of its letters: words that are ``alike`` share one."""
+    return {w} if len(w) < 4 or w.isdigit() else {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+
 class Passages:
-    """A block of passages with its seeds."""
+    """A block of passages with the places of their words."""
 
     def __init__(self, items: list[tuple[int, list[str]]]):
-        self.items = dict(items)
-        self.bags = {item: set(w) for item, w in items}
-        self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for item, w in items:
-            for i in range(len(w) - SEED + 1):
-                self.seeds[tuple(w[i : i + SEED])].append((item, i))
-        self.second = {s[1] for s in self.seeds}  # a cheap test before triples are built
-
-    def matches(self, text: str | None, share: float, join: float) -> list[tuple[int, float, float]]:
+        self.items = items
+        self.n_words = np.array([len(w) for _, w in items], dtype="float64")
+        counts: dict[str, dict[int, int]] = defaultdict(dict)
+        for k, (_, w) in enumerate(items):
+            for x in w:
+                counts[x][k] = counts[x].get(k, 0) + 1
+        self.places = {x: (np.array(list(c)), np.array(list(c.values()))) for x, c in counts.items()}
+        near: dict[str, list[str]] = defaultdict(list)
+        for x in counts:
+            for key in shortened(x):
+                near[key].append(x)
+
+        @lru_cache(maxsize=200_000)
+        def like(w: str) -> tuple[str, ...]:
+            return tuple(x for x in {x for key in shortened(w) for x in near.get(key, ())} if alike(x, w))
+
+        self.like = like
+
+    def matches(self, text: str | None, share: float) -> list[tuple[int, float, float]]:
         w = words(text)
-        second, seeds = self.second, self.seeds
-        at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for j in range(1, len(w) - 1):
-            if w[j] in second:
-                for item, i in seeds.get((w[j - 1], w[j], w[j + 1]), ()):
-                    at[item].append((i, j - 1))
-        out, bag = [], set(w)
-        for item, hits in at.items():
-            p = self.items[item]
-            if len(self.bags[item] & bag) < PLAIN * share * len(self.bags[item]):
-                continue
-            seen = set()
-            for i, _ in hits:
-                seen.update((i, i + 1, i + 2))
-            if len(seen) < join * len(p):
-                continue
-            # Only the stretches that a passage around a seed can reach are tiled; they are cut where far apart.
-            reach, parts = 2 * len(p) + 1, []
-            for _, j in sorted(hits, key=lambda x: x[1]):
-                a, z = max(0, j - reach), min(len(w), j + reach)
-                if parts and a <= parts[-1][1]:
-                    parts[-1][1] = max(z, parts[-1][1])
-                else:
-                    parts.append([a, z])
-            for a, z in parts:
-                t = w[a:z]
-                cover = sum(k for _, _, k in tiles(p, t)) / len(p)
-                if cover >= TILED * share:
-                    c = carried(p, t)
-                    if c >= share:
-                        out.append((item, cover, c))
-        best: dict[int, tuple[int, float, float]] = {}
-        for m in out:
-            if m[0] not in best or m[2] > best[m[0]][2]:
-                best[m[0]] = m
-        return list(best.values())
-
-
-#: Of the asked share of a passage's different words, this part must stand unaltered in the document.
-PLAIN = 2 / 3
-#: Tiles of two words or more must cover this part of the asked share: single altered words break tiles.
-TILED = 0.4
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, join: float = 0.2, least_words: int = 12, block: int = BLOCK) -> DataFrame:
+        # More of a passage than the words that stand anywhere in the text, slips forgiven, can't be carried.
+        there = np.zeros(len(self.items), dtype="int64")
+        for x in {x for v in set(w) for x in self.like(v)}:
+            at, n = self.places[x]
+            there[at] += n
+        out = []
+        for k in np.flatnonzero(there / self.n_words >= share):
+            item, p = self.items[k]
+            c = carried(p, w)
+            if c >= share:
+                out.append((item, sum(n for _, _, n in tiles(p, w)) / len(p), c))
+        return out
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, least_words: int = 12, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, tile_cover, carried) of every document that carries ``share`` of a passage.
 
     Runs one small action per call: the passages (a stated query set) are read to the driver, block by block.
@@ -235,7 +221,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, join:
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             p = Passages(sent.value)
             for d in batches:
-                got = [(i, *m) for i, t in zip(d["doc_id"], d["text"]) for m in p.matches(t, share, join)]
+                got = [(i, *m) for i, t in zip(d["doc_id"], d["text"]) for m in p.matches(t, share)]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "tile_cover", "carried"])
 
         part = texts.mapInPandas(run, schema)

@@ -60,3 +60,10 @@ def test_find(spark):
         got = {(r.doc_id, r.item_id) for r in find_leaks(d, items, block=block).collect()}
         assert got == {(k, 1) for k in (1, 3, 4, 5, 6, 7, 12, 13)}
     assert find_leaks(d.limit(0), items).count() == 0 and find_leaks(d, items.limit(0)).count() == 0
+
+
+def test_slips_in_all_longer_words(spark):
+    slips = " ".join(x + x[-1] if len(x) > 3 else x for x in P.split())  # no exact triple is left
+    d = spark.createDataFrame([(1, OTHER + " " + slips + " " + OTHER), (2, OTHER + OTHER)], "doc_id long, text string")
+    got = find_leaks(d, spark.createDataFrame([(1, "a", None, P)], I)).collect()
+    assert [(r.doc_id, r.item_id, r.carried) for r in got] == [(1, 1, 1.0)]
