@@ -3,7 +3,9 @@
 Two passes. The first, per device and day, turns pings into dwells (successive pings within ``radius`` of one place,
 bridging a few stray ones) and moves (the pings between), each with the sums the decoder needs. The second decodes
 every device's dwells and moves with a hidden semi-Markov model of two states, stop and travel, each with an explicit
-duration distribution: a stop has a hard least duration and a log-normal beyond it, a travel a log-normal; pings off the
+duration distribution: a stop has a hard least duration and a log-normal beyond it, a travel a log-normal
+from the end of one stop to the start of the next (before the first and after the last stop its duration is unknown and
+free), both up to a most dear duration; pings off the
 place cost an outlier penalty inside a stop, or leaving, moving and coming back; the cheaper explanation wins. A way that
 no vehicle could have driven, as to a ping thrown far off, is dear to travel. Silence costs nothing if the device is
 then still there. Gaps longer than ``gap_s`` are left out of path lengths.
@@ -39,6 +41,8 @@ DWELL = (
 STOPS = "device_id string, start_us long, end_us long, first_ping_id long, last_ping_id long, lat double, lon double, n_pings long, next_path_m double"
 #: Costs of the decoder, in nats.
 OFF, ENTER, STEEP, TOP_MPS, STILL_S = 6.0, 8.0, 6.0, 70.0, 15.0
+#: Durations: the medians of a stop and a travel, the common sigma, and the most nats that a duration may cost.
+STOP_S, TRAVEL_S, SIGMA, LONGEST = 1800.0, 900.0, 2.0, 6.0
 
 
 def metres(lat0, lon0, lat1, lon1):
@@ -114,8 +118,9 @@ def _metres(lat0: float, lon0: float, lat1: float, lon1: float) -> float:
     return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(h)))
 
 
-def _lognormal(s: float, median: float, sigma: float) -> float:
-    return 0.5 * (math.log(max(s, 1.0) / median) / sigma) ** 2
+def _duration(s: float, median: float) -> float:
+    """Cost of a stay or a travel of s seconds: log-normal, LONGEST at most."""
+    return min(0.5 * (math.log(max(s, 1.0) / median) / SIGMA) ** 2, LONGEST)
 
 
 def _decoder(radius: float, least_s: float, gap_s: float):
@@ -123,7 +128,7 @@ def _decoder(radius: float, least_s: float, gap_s: float):
         pdf = pdf.sort_values(["t0", "id0"], kind="stable").reset_index(drop=True)
         r = pdf.to_dict("list")
         n = len(pdf)
-        # best[i]: least cost of explaining items before i, with i at a border; stop spans from item a to b (inclusive).
+        # upto[i]: cost of travelling over all items before i. begun[i]: start of the stop that ends before i; before[i]: end of the stop before one from i.
         travel = [0.0] * n
         for i in range(n):
             c = 0.5 * r["n"][i] + STEEP * r["steep"][i]
@@ -134,8 +139,11 @@ def _decoder(radius: float, least_s: float, gap_s: float):
                 s = max((r["t0"][i] - r["t1"][i - 1]) / 1e6, 1.0)
                 c += STEEP * (d / s > TOP_MPS) + (d <= radius) * s / STILL_S
             travel[i] = c
-        best = [0.0] + [np.inf] * n
-        how: list[tuple[int, bool]] = [(0, False)] * (n + 1)
+        upto = [0.0, *np.cumsum(travel).tolist()]
+        begun, before = [0] * (n + 1), [0] * n
+        # The stops' ends that a travel may still come from, by cost less upto: none that another undercuts by LONGEST.
+        ends: list[tuple[float, int]] = []
+        least_end = 0.0
         lats, lons, weights, dwell = r["lat"], r["lon"], r["n"], r["dwell"]
         border = [d or k <= 2 for d, k in zip(dwell, weights)]
         near = [radius * (1.0 if d or k == 1 else 0.5) for d, k in zip(dwell, weights)]
@@ -145,9 +153,15 @@ def _decoder(radius: float, least_s: float, gap_s: float):
         # not seen only while it could still be the cheapest, and none is given up.
         waiting: list[tuple] = []
         for b in range(n):
-            least, way = best[b] + travel[b], (b, False)
+            # An end as dear as this can as well be travelled through: the next travel's duration costs LONGEST at most.
+            least, start = upto[b + 1] + least_end + LONGEST, None
             if border[b]:
-                heappush(waiting, (best[b] + ENTER + inside[b], b, b, True, lats[b], lons[b], weights[b]))
+                here = upto[b]
+                for low, e in ends:
+                    cost = low + upto[b] + _duration((r["t0"][b] - r["t1"][e - 1]) / 1e6, TRAVEL_S)
+                    if cost < here:
+                        here, before[b] = cost, e
+                heappush(waiting, (here + ENTER + inside[b], b, b, True, lats[b], lons[b], weights[b]))
             seen = []
             while waiting and waiting[0][0] < least:
                 so_far, a, at, edge, lat, lon, weight = heappop(waiting)
@@ -161,18 +175,18 @@ def _decoder(radius: float, least_s: float, gap_s: float):
                 seen.append((so_far, a, at, edge, lat, lon, weight))
                 span = (r["t1"][b] - r["t0"][a]) / 1e6
                 if at == b and edge and span >= least_s:
-                    cost = so_far + min(_lognormal(span, 1800.0, 2.0), 6.0)
+                    cost = so_far + _duration(span, STOP_S)
                     if cost < least:
-                        least, way = cost, (a, True)
+                        least, start = cost, a
             for x in seen:
                 heappush(waiting, x)
-            best[b + 1], how[b + 1] = least, way
-        spans, i = [], n
+            if start is not None and (low := least - upto[b + 1]) < 0:  # else travelling all along is cheaper
+                begun[b + 1], least_end = start, min(least_end, low)
+                ends = [x for x in (*ends, (low, b + 1)) if x[0] < least_end + LONGEST]
+        spans, i = [], min(ends)[1] if ends else 0
         while i > 0:
-            a, is_stop = how[i]
-            if is_stop:
-                spans.append((a, i - 1))
-            i = a
+            spans.append((begun[i], i - 1))
+            i = before[begun[i]]
         spans.reverse()
         out = []
         for k, (a, b) in enumerate(spans):

@@ -1,6 +1,9 @@
 import math
 import random
 
+import pandas as pd
+
+from roadgrain.operators import stops
 from roadgrain.operators.stops import find_stops, stops_and_trips
 
 S = "ping_id long, device_id string, us long, lat double, lon double"
@@ -89,3 +92,21 @@ def test_many_thrown_off_pings_do_not_end_a_stop(spark):
     for _ in range(40):
         w.ping()
     assert [(r.first_ping_id, r.last_ping_id) for r in find_stops(frame(spark, w.rows)).collect()] == [(1, w.id - 1)]
+
+
+def test_travel_has_a_duration(monkeypatch):
+    def item(t0, t1, lat, n, dwell=True):
+        return ("d", t0 * 1_000_000, t1 * 1_000_000, t0, t1, lat, 5.0, lat, 5.0, lat, 5.0, n, 0, 0, 0.0, dwell, False)
+
+    names = [c.split()[0] for c in stops.DWELL.split(", ")]
+
+    def spans(way_s):
+        # Off for four pings: 24 nats as pings thrown off, or 8 for a second stop and about 2 for the way, besides durations.
+        items = [item(0, 1800, 45.0, 60), item(1860, 1800 + way_s - 60, 45.01, 4, False), item(1800 + way_s, 3600 + way_s, 45.0, 60)]
+        return [(x.first_ping_id, x.last_ping_id) for x in stops._decoder(60.0, 300.0, 1800.0)(pd.DataFrame(items, columns=names)).itertuples()]
+
+    assert spans(900) == [(0, 1800), (2700, 4500)]
+    monkeypatch.setattr(stops, "LONGEST", 60.0)
+    assert spans(900) == [(0, 1800), (2700, 4500)]
+    monkeypatch.setattr(stops, "TRAVEL_S", 1e9)  # a way this short is then no travel
+    assert spans(900) == [(0, 4500)]
