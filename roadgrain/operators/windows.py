@@ -123,11 +123,16 @@ CURVES = [(25.0, "hairpin"), (75.0, "sharp"), (200.0, "moderate"), (1000.0, "gen
 
 
 def curve_radius(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Radius (m) of the circle through the fix before, this one and the next, and its class; null where two coincide."""
+    """Radius (m) of the circle through the fix before, this one and the next, its curvature (1/m) and class; null where two coincide."""
     w = _w(by, order)
     k = curvature(*[f(c).over(w) for f, c in ((F.lag, "lat"), (F.lag, "lon"))], F.col("lat"), F.col("lon"), *[F.lead(c).over(w) for c in ("lat", "lon")])
-    x = df.withColumn("_k", k).withColumn("curve_radius_m", F.try_divide(F.lit(1.0), F.abs("_k")))
-    label = F.when(F.col("_k").isNull(), None)
+    x = df.withColumn("curvature_1_m", k).withColumn("curve_radius_m", F.try_divide(F.lit(1.0), F.abs("curvature_1_m")))
+    label = F.when(F.col("curvature_1_m").isNull(), None)
     for r, name in CURVES:
         label = label.when(F.col("curve_radius_m") < r, name)
-    return x.withColumn("curve_class", label.otherwise("straight")).drop("_k")
+    return x.withColumn("curve_class", label.otherwise("straight"))
+
+
+def curvature_rate(df: DataFrame, by: list[str], order: list[str], ts: str = "ts") -> DataFrame:
+    """``curve_radius`` and the change of the curvature per second from the fix before."""
+    return derivative(curve_radius(df, by, order), "curvature_1_m", by, ts, order, "curvature_rate")
