@@ -15,8 +15,8 @@ of range, both 0) neither start nor end anything; equal ts are ordered by ping_i
 ``least_s`` has no stops and no trips; pings before the first and after the last stop are no trip; empty tables give
 no rows.
 
-Skew: the first pass is bounded by a day of one device; the second sees only dwells and moves, cut at days that begin in
-steady motion, where no stop can be open.
+Skew: the first pass is bounded by a day of one device; the second sees only dwells and moves, but all of a device in one
+task, as a stop or a travel may last over any midnight.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ DAY_US = 86_400_000_000
 EARTH_M = 6_371_000.0
 DWELL = (
     "device_id string, t0 long, t1 long, id0 long, id1 long, lat double, lon double, lat0 double, lon0 double, lat1 double, lon1 double, "
-    "n long, n_off long, steep long, path_m double, dwell boolean, steady boolean"
+    "n long, n_off long, steep long, path_m double, dwell boolean"
 )
 STOPS = "device_id string, start_us long, end_us long, first_ping_id long, last_ping_id long, lat double, lon double, n_pings long, next_path_m double"
 #: Costs of the decoder, in nats.
@@ -100,11 +100,11 @@ def _dwell_maker(radius: float, bridge: int, gap_us: int):
                 cuts = sorted({at, end, *(q for q in (1, 2, n - 2, n - 1) if at < q < end)})
                 for a, b in zip(cuts, cuts[1:]):
                     inner = slice(a + 1, b)
-                    rows.append((dev, us[a], us[b - 1], pid[a], pid[b - 1], lat[a:b].mean(), lon[a:b].mean(), lat[a], lon[a], lat[b - 1], lon[b - 1], b - a, 0, int(fast[inner].sum()), path(a, b - 1), False, b - a >= 4 and bool((step[inner] > 3 * radius).all() and not fast[inner].any())))
+                    rows.append((dev, us[a], us[b - 1], pid[a], pid[b - 1], lat[a:b].mean(), lon[a:b].mean(), lat[a], lon[a], lat[b - 1], lon[b - 1], b - a, 0, int(fast[inner].sum()), path(a, b - 1), False))
             if g:
                 a, b = g[0], g[-1]
                 cx, cy = float(np.median(lat[g])), float(np.median(lon[g]))
-                rows.append((dev, us[a], us[b], pid[a], pid[b], cx, cy, lat[a], lon[a], lat[b], lon[b], len(g), b - a + 1 - len(g), 0, 0.0, True, False))
+                rows.append((dev, us[a], us[b], pid[a], pid[b], cx, cy, lat[a], lon[a], lat[b], lon[b], len(g), b - a + 1 - len(g), 0, 0.0, True))
                 at = b + 1
         return pd.DataFrame(rows, columns=[c.split()[0] for c in DWELL.split(", ")])
 
@@ -211,11 +211,7 @@ def find_stops(pings: DataFrame, radius: float = 60.0, least_s: float = 300.0, g
     p = p.select("device_id", F.unix_micros("ts").alias("us"), "ping_id", "lat", "lon").withColumn("day", F.floor(F.col("us") / DAY_US))
     p = hashed(p, "device_id", "day").dropDuplicates(["device_id", "day", "ping_id"])
     d = p.groupBy("device_id", "day").applyInPandas(_dwell_maker(radius, bridge, int(gap_s * 1e6)), DWELL)
-    # A new piece begins at a steady move that opens a day: only compact rows pass this window.
-    w = Window.partitionBy("device_id").orderBy("t0", "id0")
-    opens = F.col("steady") & (F.floor(F.col("t0") / DAY_US) != F.floor(F.lag("t1").over(w) / DAY_US))
-    d = d.withColumn("_o", F.when(opens, 1).otherwise(0)).withColumn("piece", F.sum("_o").over(w)).drop("_o")
-    return d.groupBy("device_id", "piece").applyInPandas(_decoder(radius, least_s, gap_s), STOPS)
+    return d.groupBy("device_id").applyInPandas(_decoder(radius, least_s, gap_s), STOPS)
 
 
 def stops_and_trips(pings: DataFrame, **kw) -> DataFrame:

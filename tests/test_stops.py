@@ -96,7 +96,7 @@ def test_many_thrown_off_pings_do_not_end_a_stop(spark):
 
 def test_travel_has_a_duration(monkeypatch):
     def item(t0, t1, lat, n, dwell=True):
-        return ("d", t0 * 1_000_000, t1 * 1_000_000, t0, t1, lat, 5.0, lat, 5.0, lat, 5.0, n, 0, 0, 0.0, dwell, False)
+        return ("d", t0 * 1_000_000, t1 * 1_000_000, t0, t1, lat, 5.0, lat, 5.0, lat, 5.0, n, 0, 0, 0.0, dwell)
 
     names = [c.split()[0] for c in stops.DWELL.split(", ")]
 
