@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roadgrain.operators.compaction import consolidate, fragment_records, mark_copies, range_metadata
 from roadgrain.operators.drift import consistent_table, file_schemas, schema_changes
 from roadgrain.operators.grid import regular_grid
-from roadgrain.operators.spikes import faults
+from roadgrain.operators.spikes import candidates, faults
 from roadgrain.operators.stops import stops_and_trips
 from roadgrain.operators.units import foreign_units, resolve_units
 from roadgrain.sources import table
@@ -52,6 +52,10 @@ def p3_faults(s: SparkSession, d: str) -> DataFrame:
     return faults(table(s, d, "records"), table(s, d, "trips")).withColumn("fault", F.array_join("fault", "+"))
 
 
+def p3_candidates(s: SparkSession, d: str) -> DataFrame:
+    return candidates(table(s, d, "records"), table(s, d, "trips"))
+
+
 def p4_found(s: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(s, d, "records")).where("n_readings = 0").select("trip_id", "slot_start_s")
 
@@ -81,7 +85,7 @@ def p7_segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_values, p2_found, p2_changes, p2_schemas, p2_table, p3_found, p3_faults, p4_found, p4_series, p5_found, p5_files, p5_records, p7_found, p7_segments)
+    own = (p1_found, p1_values, p2_found, p2_changes, p2_schemas, p2_table, p3_found, p3_faults, p3_candidates, p4_found, p4_series, p5_found, p5_files, p5_records, p7_found, p7_segments)
     return {f.__name__: f for f in own}
 
 
@@ -94,9 +98,9 @@ l AS (SELECT rec_id, trip_id, source, us, 'ax_mps2' AS f, CAST(ax_mps2 AS DOUBLE
       UNION ALL SELECT rec_id, trip_id, source, us, 'speed_mps', CAST(speed_mps AS DOUBLE) FROM r WHERE speed_mps IS NOT NULL),
 u AS (SELECT source, f, quantile_cont(v, 0.5) AS level, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 AS spread
       FROM l WHERE f <> 'speed_mps' GROUP BY 1, 2),
-o AS (SELECT source, v, lag(v) OVER w AS below, (row_number() OVER w - 1.0) / count(*) OVER (PARTITION BY source) AS share
+o AS (SELECT source, v, lag(v) OVER w AS below, row_number() OVER w - 1 AS n_below, count(*) OVER (PARTITION BY source) AS n
       FROM l WHERE f = 'speed_mps' AND v >= 0 WINDOW w AS (PARTITION BY source ORDER BY v)),
-c AS (SELECT source, min(v) AS ceiling FROM o WHERE v > 2 * below AND share >= 0.75 AND v >= 3 GROUP BY 1),
+c AS (SELECT source, min(v) AS ceiling FROM o WHERE v > 2 * below AND below > 0 AND n_below > n - n_below GROUP BY 1),
 s AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS b FROM l WINDOW w AS (PARTITION BY trip_id, f ORDER BY us, rec_id)),
 g AS (SELECT *, sum(b) OVER (PARTITION BY trip_id, f ORDER BY us, rec_id) AS run FROM s),
 n AS (SELECT *, count(*) OVER (PARTITION BY trip_id, f, run) AS len FROM g)

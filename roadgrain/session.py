@@ -79,9 +79,41 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+#: Bytes of input per part of a shuffle by key.
+PART_BYTES = 128 << 20
+
+
+def parts(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Parts for a shuffle of a frame: spark.sql.shuffle.partitions, or more where its inputs need more of ``part_bytes``.
+
+    Only the sizes that the optimiser knows of the scans are looked at (unknown ones count as nothing); no job runs.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // part_bytes)
+
+
 def hashed(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash partitioning by keys into spark.sql.shuffle.partitions parts that are not merged for being small in bytes.
+    """Hash partitioning by keys into ``parts`` parts, which grow with the input and are not merged for being small.
 
     For expensive work per row or group behind the shuffle, where bytes say little about the work.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(parts(df), *keys)
+
+
+def thinned(df: DataFrame) -> DataFrame:
+    """The rows without repetitions inside an Arrow batch, so that a row sent again and again is thinned out before a shuffle.
+
+    Whole rows are compared; what is left of repetitions is for a ``distinct`` behind the shuffle.
+    """
+
+    def once(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            few = t.group_by(t.column_names, use_threads=False).aggregate([])
+            yield from (few if few.num_rows < t.num_rows else t).select(t.column_names).to_batches()
+
+    return df.mapInArrow(once, df.schema)

@@ -1,6 +1,6 @@
 import random
 
-from roadgrain.operators.spikes import BLOCK_US, faults
+from roadgrain.operators.spikes import BLOCK_US, LEVELS, candidates, decomposed, faults, readings
 
 S = "rec_id long, trip_id string, device_id string, ts timestamp, ax_mps2 float, gx_rad_s float, speed_mps float"
 T = "trip_id string, device_id string"
@@ -68,3 +68,48 @@ def test_copies_do_not_weigh_on_what_is_usual(spark):
     assert found(faults(rows(spark, data), t)) == want
     for i in (10, 201):  # more than half of the device's rows are one record's copies, a usual or a faulty one
         assert found(faults(rows(spark, data + [list(data[i]) for _ in range(900)]), t)) == want
+
+
+def test_a_reading_is_the_sum_of_its_coefficients(spark):
+    data = sample(40)
+    for i in (3, 4, 9):
+        data[i][4] = None
+    t = spark.createDataFrame([("t", "d")], T)
+    x = decomposed(readings(rows(spark, data), t, ["ax_mps2", "gx_rad_s"]), ["ax_mps2", "gx_rad_s"]).collect()
+    assert len(x) == 40
+    for r in x:
+        for f in ("ax_mps2", "gx_rad_s"):
+            if r[f] is None:
+                assert r[f"{f}_d1"] is None and r[f"{f}_c"] is None
+            else:
+                assert abs(sum(r[f"{f}_d{j}"] for j in range(1, LEVELS + 1)) + r[f"{f}_c"] - r[f]) < 1e-9
+
+
+def test_candidates_are_few_and_hold_every_spike(spark):
+    rng = random.Random(4)
+    data = sample(3000)
+    far = set()
+    for i in range(0, 3000, 150):
+        data[i][4] = 1 + rng.choice((-1, 1)) * rng.uniform(3.6, 30)
+        far.add(i)
+    for i in range(1000, 1040):  # a plateau has details at its ends only
+        data[i][4] = 12 + i / 1000
+        far.add(i)
+    t = spark.createDataFrame([("t", "d")], T)
+    values = sorted(r[4] for r in data)
+    level, spread = values[1499], (values[2249] - values[749]) / 1.349
+    want = {r[0] for r in data if abs(r[4] - level) > 10.05 * spread}
+    got = {r[0] for r in found(faults(rows(spark, data), t)) if r[1] == "ax_mps2" and "spike" in r[2]}
+    assert want <= got <= far
+    c = {r.field_name: r for r in candidates(rows(spark, data), t).collect()}["ax_mps2"]
+    assert c.n_spikes == len(got) <= c.n_candidates < 300 and c.n_readings == 3000
+
+
+def test_slow_sources_have_impossible_speeds_too(spark):
+    data = sample()
+    rng = random.Random(5)
+    for r in data:
+        r[6] = 1 + 0.4 * rng.random()
+    data[77][6] = 2.9
+    got = {r[0] for r in found(faults(rows(spark, data), spark.createDataFrame([("t", "d")], T))) if r[1] == "speed_mps"}
+    assert got == {77}
