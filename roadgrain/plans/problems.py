@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadgrain.operators.compaction import consolidate, fragment_records, mark_copies, range_metadata
+from roadgrain.operators.compaction import consolidate, copies, output_files
 from roadgrain.operators.drift import consistent_table, file_schemas, schema_changes
 from roadgrain.operators.grid import regular_grid
 from roadgrain.operators.spikes import candidates, faults
@@ -65,15 +65,15 @@ def p4_series(s: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
-    return mark_copies(fragment_records(table(s, d, "trip_fragments"))).where("is_copy").select("fragment_id", "line_no")
+    return copies(table(s, d, "trip_fragments"))
 
 
 def p5_files(s: SparkSession, d: str) -> DataFrame:
-    return range_metadata(consolidate(table(s, d, "trip_fragments"), SMALL_TARGET))
+    return output_files(table(s, d, "trip_fragments"), SMALL_TARGET)
 
 
 def p5_records(s: SparkSession, d: str) -> DataFrame:
-    return consolidate(table(s, d, "trip_fragments"), SMALL_TARGET).drop("n_bytes", "out_file")
+    return consolidate(table(s, d, "trip_fragments"))
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:

@@ -117,3 +117,14 @@ def thinned(df: DataFrame) -> DataFrame:
             yield from (few if few.num_rows < t.num_rows else t).select(t.column_names).to_batches()
 
     return df.mapInArrow(once, df.schema)
+
+
+def arrow_batch(ddl: str, rows: list[tuple]):
+    """Rows as an Arrow batch of a flat DDL schema (long, int, double, string, boolean and arrays of these); for workers."""
+    import pyarrow as pa
+
+    plain = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    kind = lambda t: pa.list_(plain[t[6:-1]]) if t.startswith("array<") else plain[t]
+    fields = [(n, kind(t)) for n, t in (c.split(" ") for c in ddl.split(", "))]
+    cols = zip(*rows) if rows else ([] for _ in fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
