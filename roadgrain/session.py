@@ -128,3 +128,33 @@ def arrow_batch(ddl: str, rows: list[tuple]):
     fields = [(n, kind(t)) for n, t in (c.split(" ") for c in ddl.split(", "))]
     cols = zip(*rows) if rows else ([] for _ in fields)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
+
+
+def sorted_groups(batches, *keys: str):
+    """Groups of rows that come sorted by keys, as dicts of numpy columns; for workers, where groups are many and small."""
+    import numpy as np
+
+    held: list[dict] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(b.schema.names, b.columns)}
+        new = np.zeros(b.num_rows, bool)
+        for k in keys:
+            new[1:] |= cols[k][1:] != cols[k][:-1]
+        new[0] = bool(held) and any(held[-1][k][-1] != cols[k][0] for k in keys)
+        at = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for n, (a, z) in enumerate(zip(at, at[1:])):
+            if n and held:
+                yield _joined(held)
+                held = []
+            if z > a:
+                held.append({c: v[a:z] for c, v in cols.items()})
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[dict]) -> dict:
+    import numpy as np
+
+    return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}

@@ -103,10 +103,34 @@ def test_travel_has_a_duration(monkeypatch):
     def spans(way_s):
         # Off for four pings: 24 nats as pings thrown off, or 8 for a second stop and about 2 for the way, besides durations.
         items = [item(0, 1800, 45.0, 60), item(1860, 1800 + way_s - 60, 45.01, 4, False), item(1800 + way_s, 3600 + way_s, 45.0, 60)]
-        return [(x.first_ping_id, x.last_ping_id) for x in stops._decoder(60.0, 300.0, 1800.0)(pd.DataFrame(items, columns=names)).itertuples()]
+        return [(x[3], x[4]) for x in stops._decoder(60.0, 300.0, 1800.0)(pd.DataFrame(items, columns=names))]
 
     assert spans(900) == [(0, 1800), (2700, 4500)]
     monkeypatch.setattr(stops, "LONGEST", 60.0)
     assert spans(900) == [(0, 1800), (2700, 4500)]
     monkeypatch.setattr(stops, "TRAVEL_S", 1e9)  # a way this short is then no travel
     assert spans(900) == [(0, 4500)]
+
+
+def test_cuts_of_a_history_change_nothing(spark, monkeypatch):
+    w = Walk(11)
+    for i in range(12):
+        w.stop(40, sleep=0.02)
+        w.drive(15)
+        w.stop(150, sleep=0.03)  # hours long: sure dwells on most days
+        w.t += 30_000_000_000
+        w.drive(10)
+    w.stop(30)
+    f = frame(spark, w.rows)
+
+    def segments():
+        got = sorted((r.kind, r.first_ping_id, r.last_ping_id, r.duration_s, round(r.distance_m, 3), r.lat and round(r.lat, 6)) for r in stops_and_trips(f).collect())
+        return got, sorted((r.first_ping_id, r.n_pings) for r in find_stops(f).collect())
+
+    p = f.selectExpr("device_id", "unix_micros(ts) us", "ping_id", "lat", "lon").where("lat is not null").withColumn("day", stops.F.floor(stops.F.col("us") / stops.DAY_US))
+    d = p.repartition("device_id", "day").sortWithinPartitions("device_id", "day", "us", "ping_id").mapInArrow(stops._first_pass(60.0, 2, 1_800_000_000), stops.ITEM)
+    n = stops._pieces(d).select("piece").distinct().count()
+    cut = segments()
+    monkeypatch.setattr(stops, "CUT_N", 10**9)
+    assert n > 4 and stops._pieces(d).select("piece").distinct().count() == 1
+    assert segments() == cut
