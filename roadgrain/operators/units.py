@@ -13,12 +13,15 @@ give no rows.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadgrain.session import hashed
+from roadgrain.session import arrow_batch, hashed
 
 G0 = 9.80665
 
@@ -38,7 +41,7 @@ SPELLINGS = {
         "ft_s2": ["ft/s2", "fps2", "feet/s2", "fts-2", "ft/sec2", "feetpersecondsquared", "ft/s/s"],
     },
     "gx_rad_s": {
-        "rad_s": ["rad/s", "rads-1", "radianspersecond", "radians/s", "rps", "rad/sec"],
+        "rad_s": ["rad/s", "rads-1", "radianspersecond", "radians/s", "rad/sec"],
         "deg_s": ["deg/s", "dps", "°/s", "degs-1", "degreespersecond", "degrees/s", "deg/sec", "°s-1"],
         "mdeg_s": ["mdeg/s", "mdps", "m°/s", "millidegrees/s", "millidegreespersecond", "mdegs-1"],
         "rev_min": ["rpm", "rev/min", "r/min", "turnsperminute", "revolutionsperminute", "revmin-1"],
@@ -63,147 +66,198 @@ FIELD_WORDS = {
     "speed_obd_mps": ["spd", "speed", "v_obd", "obd speed", "speed_obd_mps", "obd_speed", "v"],
     "lat": ["lat", "latitude", "coords", "pos", "position", "coordinates", "coord"],
 }
-MISSING = ["", "n/a", "na", "nan", "null", "none", "--", "-", "?", "nil"]
+MISSING = {"", "n/a", "na", "nan", "null", "none", "--", "-", "?", "nil"}
 FIELDS = list(FACTORS)
 #: Log10 bins of the histograms a mixture is fitted on: a bound on what one group can hold.
 BIN = 0.02
 NUMBER = r"[+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?"
 
 
-def _table(pairs: dict[str, str]) -> Column:
-    """A constant map, folded once by the optimiser."""
-    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in pairs.items()) + ")")
-
-
-def _by_field(field: Column, c: Column) -> Column:
-    """Unit code of a normalised spelling, by the row's field; null for any other text."""
-    codes = {f"{f}|{w}": u for f, us in SPELLINGS.items() for u, ws in us.items() for w in ws}
-    return F.try_element_at(_table(codes), F.concat(field, F.lit("|"), c))
-
-
 #: Blanks and minus signs that sources use for the plain ones.
 BLANKS, MINUS = "\u00a0\u2007\u2009\u202f", "\u2212\u2012\u2013"
-
-
-def _spelling(c: Column) -> Column:
+#: Declarations that are read to the driver at most, and entries that a worker's memo of texts may hold.
+MOST_DECLARED, MEMO = 100_000, 50_000
+PARSED = "reading_id long, field_name string, raw_value string, num double, dms_value double, can int, south boolean, told string, told_by string, grp string"
+
+CODES = {(f, w): u for f, us in SPELLINGS.items() for u, ws in us.items() for w in ws}
+WORDS = {w: f for f, ws in FIELD_WORDS.items() for w in ws}
+UNITS = {f: list(us) for f, us in FACTORS.items()}
+_BLANKS = str.maketrans(BLANKS + MINUS, " " * len(BLANKS) + "-" * len(MINUS))
+_PLAIN = str.maketrans("\u00b2\u207b\u00b9\u2212\u00ba\u2070", "2-1-\u00b00", " \t\n\r\f\v\u00a0\u2007\u2009\u202f[].\u00b7^*\"{}")
+_QUOTES = str.maketrans("{}\"'", "    ")
+_CLAUSES, _CLAUSE = re.compile(r"[;|,\n]"), re.compile(r"^\s*(.+?)\s*(?:=|:|\s[iI][nN]\s)\s*(.+?)\s*$")
+_DECLARED = [re.compile(p, re.I) for p in (r"^(.*)$", r"^\s*unit\s*[:=]\s*([^;]*)", r"\b(?:sent|given|recorded|measured)\s+in\s+([^;]*)", r"\bin\s+([^;]*)")]
+_VALUE, _LAT = re.compile(rf"\s*({NUMBER})\s*(.*)$"), re.compile(rf"\s*[NSns]?\s*({NUMBER})")
+_DMS = re.compile(r"([NSEW]?)\s*([+-]?\d{1,3})\s*(?:°|d|\s)\s*(\d{1,2})\s*(?:['′’]|m|\s)\s*(\d{1,2}(?:[.,]\d+)?)\s*(?:\"|''|″|”|s)?\s*([NSEW]?)$", re.I)
+_DEG = re.compile(r"\s*[NSns]?\s*[+-]?\d{1,2}(?:[.,]\d+)?\s*°\s*[NSns]?\s*$")
+_DIGITS, _POINT, _LEADING_ZERO = re.compile(r"\s*[NSns]?\s*[+-]?(\d+)"), re.compile(r"\d[.,]\d"), re.compile(r"\s*[NSns]?\s*[+-]?0\d")
+
+
+def _spelled(text: str) -> str:
     """Lower case, without blanks, dots, carets, stars and brackets; superscripts as digits."""
-    return F.regexp_replace(F.translate(F.lower(c), "\u00b2\u207b\u00b9\u2212\u00ba\u2070", "2-1-\u00b00"), "[\\s\u00a0\u2007\u2009\u202f\\[\\].\u00b7^*\"{}]", "")
-
-
-def _clean(c: Column) -> Column:
-    return F.trim(F.translate(c, BLANKS + MINUS, " " * len(BLANKS) + "-" * len(MINUS)))
-
-
-def _version(c: Column) -> Column:
-    """Dotted number as an array of ints, so that 1.10 follows 1.9."""
-    return F.transform(F.split(F.trim(c), r"\."), lambda x: x.try_cast("int"))
-
-
-def _declared(units: DataFrame) -> DataFrame:
-    """One row per (provider, field): its declarations as an array, later starts first."""
-    text = F.trim(F.col("unit_text"))
-    told = F.coalesce(
-        _by_field(F.col("field_name"), _spelling(text)),
-        _by_field(F.col("field_name"), _spelling(F.regexp_extract(text, r"(?i)^\s*unit\s*[:=]\s*([^;]*)", 1))),
-        _by_field(F.col("field_name"), _spelling(F.regexp_extract(text, r"(?i)\b(?:sent|given|recorded|measured)\s+in\s+([^;]*)", 1))),
-        _by_field(F.col("field_name"), _spelling(F.regexp_extract(text, r"(?i)\bin\s+([^;]*)", 1))),
-    )
-    d = units.select(
-        F.col("provider_id").alias("_p"),
-        F.col("field_name").alias("_f"),
-        F.struct(_version(F.col("firmware_from")).alias("lo"), _version(F.col("firmware_before")).alias("hi"), told.alias("unit")).alias("d"),
-    )
-    return d.groupBy("_p", "_f").agg(F.sort_array(F.collect_set("d"), asc=False).alias("_decl"))
-
-
-def _note_units(note: Column) -> Column:
-    """The note's clauses as (field, unit code); a clause about another thing has a null."""
-    words = {w: f for f, ws in FIELD_WORDS.items() for w in ws}
-    clause = r"^\s*(.+?)\s*(?:=|:|\s[iI][nN]\s)\s*(.+?)\s*$"
-    named = F.transform(
-        F.split(F.translate(note, "{}\"'", "    "), r"[;|,\n]"),
-        lambda x: F.struct(
-            F.try_element_at(_table(words), F.regexp_replace(F.lower(F.trim(F.regexp_extract(x, clause, 1))), r"\s+", " ")).alias("f"),
-            _spelling(F.regexp_extract(x, clause, 2)).alias("u"),
-        ),
-    )
-    return F.filter(F.transform(named, lambda s: F.struct(s["f"].alias("f"), _by_field(s["f"], s["u"]).alias("u"))), lambda s: s["u"].isNotNull())
+    return text.lower().translate(_PLAIN)
+
+
+class Told:
+    """What notes and declarations say, remembered per text; and the parts of a value."""
+
+    def __init__(self, declared: dict[tuple[str, str], list[tuple]]):
+        self.declared = declared
+        self.notes: dict[str, dict[str, str]] = {}
+        self.versions: dict[tuple, tuple[str | None, str]] = {}
+
+    def note(self, text: str | None) -> dict[str, str]:
+        """Field -> unit of a row's note; a clause about another thing tells nothing."""
+        got = self.notes.get(text) if text else {}
+        if got is None:
+            got = {}
+            for clause in _CLAUSES.split(text.translate(_QUOTES)):
+                m = _CLAUSE.match(clause)
+                field = m and WORDS.get(" ".join(m.group(1).lower().split()))
+                unit = field and CODES.get((field, _spelled(m.group(2))))
+                if unit:
+                    got.setdefault(field, unit)
+            _keep(self.notes, text, got)
+        return got
+
+    def declaration(self, provider: str | None, field: str, firmware: str | None) -> tuple[str | None, str]:
+        """Unit that holds for a firmware, and the group that readings of one declaration form."""
+        key = (provider, field, firmware)
+        got = self.versions.get(key)
+        if got is None:
+            fw = version(firmware)
+            hit = next((d for d in self.declared.get((provider, field), ()) if (d[0] is None or (fw is not None and fw >= d[0])) and (d[1] is None or (fw is not None and fw < d[1]))), None)
+            span = ("*", ".".join(map(str, (fw or ())[:2]))) if hit is None else tuple("" if v is None else ".".join(map(str, v)) for v in hit[:2])
+            got = (hit and hit[2], "|".join((provider or "", field, *span)))
+            _keep(self.versions, key, got)
+        return got
+
+
+def _keep(memo: dict, key, value) -> None:
+    if len(memo) >= MEMO:
+        memo.clear()
+    memo[key] = value
+
+
+def version(text: str | None) -> tuple[int, ...] | None:
+    """Dotted number as a tuple of ints, so that 1.10 follows 1.9; a part that is no number counts as -1."""
+    return None if text is None else tuple(int(p) if p.isdigit() else -1 for p in text.strip().split("."))
+
+
+def declared_unit(field: str, text: str | None) -> str | None:
+    """Unit that a declaration's text tells for a field, or None if it says nothing useful."""
+    if text is None:
+        return None
+    for p in _DECLARED:
+        m = p.search(text)
+        unit = m and CODES.get((field, _spelled(m.group(1))))
+        if unit:
+            return unit
+    return None
+
+
+def fits(raw: str, n: float, digits: int, unit: str) -> bool:
+    """Whether a numeral can be a latitude in that notation: digits, point, least and most."""
+    n = abs(n)
+    if unit == "deg":
+        return n <= 90 and not _LEADING_ZERO.match(raw)
+    if unit == "ddmm":
+        return 3 <= digits <= 4 and n <= 9000 and n % 100 < 60 and bool(_POINT.search(raw))
+    if unit == "e7":
+        return n <= 9e8 and not _POINT.search(raw)
+    return unit != "dms"
+
+
+def value_parts(field: str, text: str | None) -> tuple | None:
+    """(number, degrees of a dms writing, unit in the value, units of a latitude that the digits allow, south), or None."""
+    if text is None:
+        return None
+    raw = text.translate(_BLANKS).strip(" ")
+    if raw.lower() in MISSING:
+        return None
+    if field != "lat":
+        try:  # a plain number, the most frequent writing
+            if "_" not in raw:
+                n = float(raw)
+                return (n, None, None, 0, False) if abs(n) < 1e300 else None
+        except ValueError:
+            pass
+        m = _VALUE.match(raw)
+        if not m or not (n := _number(m.group(1))) < 1e300:
+            return None
+        return (n, None, CODES.get((field, _spelled(m.group(2)))), 0, False) if n > -1e300 else None
+    south = raw[:1] in "sS" or raw[-1:] in "sS"
+    m = _DMS.match(raw)
+    if m:
+        south = "S" in (m.group(1) + m.group(5)).upper()
+        d = abs(float(m.group(2))) + float(m.group(3)) / 60 + float(m.group(4).replace(",", ".")) / 3600
+        return None, -d if m.group(2).startswith("-") else d, "dms", 0, south
+    m = _LAT.match(raw)
+    if not m or not abs(n := _number(m.group(1))) < 1e300:
+        return None
+    can = sum(1 << k for k, u in enumerate(FACTORS["lat"]) if fits(raw, n, len(_DIGITS.match(raw).group(1)) if _DIGITS.match(raw) else 0, u))
+    return n, None, "deg" if _DEG.match(raw) else None, can, south
+
+
+def _number(text: str) -> float:
+    return float(text.replace(",", "."))
+
+
+def _parser(declared: dict):
+    def parse(batches):
+        told, lat_units = Told(declared), UNITS["lat"]
+        for b in batches:
+            rows = []
+            # Repeated rows of a batch are thinned out before the shuffle.
+            for rid, provider, firmware, note, *values in dict.fromkeys(zip(*(c.to_pylist() for c in b.columns))):
+                said = told.note(note)
+                for f, text in zip(FIELDS, values):
+                    v = value_parts(f, text)
+                    if v is None:
+                        continue
+                    n, dms, unit, can, south = v
+                    by, group = "value", None
+                    if unit is None and (unit := said.get(f)):
+                        by = "note"
+                    if unit is None:
+                        unit, group = told.declaration(provider, f, firmware)
+                        by = "declared" if unit else "inferred"
+                    # A notation that the digits rule out is not told.
+                    if unit and f == "lat" and dms is None and not can >> lat_units.index(unit) & 1:
+                        unit, by, group = None, "inferred", told.declaration(provider, f, firmware)[1]
+                    rows.append((rid, f, text, n, dms, can, south, unit, by, None if unit else group))
+            yield arrow_batch(PARSED, rows)
+
+    return parse
 
 
 def told_units(readings: DataFrame, units: DataFrame) -> DataFrame:
-    """Long rows (one per present value) with the number, the unit told and by what."""
-    base = hashed(readings.select("reading_id", "provider_id", "firmware", "unit_note", *FIELDS), "reading_id").distinct()
-    base = base.withColumn("_note", _note_units(F.col("unit_note"))).withColumn("_fw", _version(F.col("firmware")))
-    long = base.select(
-        "reading_id", "provider_id", "_fw", "_note",
-        F.expr("stack(4, " + ", ".join(f"'{f}', `{f}`" for f in FIELDS) + ") as (field_name, raw_value)"),
-    )
-    raw = _clean(F.col("raw_value"))
-    long = long.where(F.col("raw_value").isNotNull() & ~F.lower(raw).isin(MISSING)).withColumn("_raw", raw)
-    is_lat = F.col("field_name") == "lat"
-    dms = r"(?i)^([NSEW]?)\s*([+-]?\d{1,3})\s*(?:°|d|\s)\s*(\d{1,2})\s*(?:['′’]|m|\s)\s*(\d{1,2}(?:[.,]\d+)?)\s*(?:\"|''|″|”|s)?\s*([NSEW]?)$"
-    num_txt = F.regexp_extract("_raw", f"^\\s*[NSns]?\\s*({NUMBER})", 1)
-    rest = F.regexp_replace(F.regexp_extract("_raw", f"^\\s*{NUMBER}\\s*(.*)$", 1), r"[\[\]]", "")
-    long = (
-        long.withColumn("_dms", is_lat & F.col("_raw").rlike(dms))
-        .withColumn("_num", F.when(~F.col("_dms"), F.translate(num_txt, ",", ".").try_cast("double")))
-        .withColumn("_digits", F.when(is_lat, F.regexp_extract("_raw", r"^\s*[NSns]?\s*[+-]?(\d+)", 1)))
-        .withColumn("_south", is_lat & F.col("_raw").rlike(r"(?i)(^\s*S|S\s*$)"))
-    )
-    d, m = (F.regexp_extract("_raw", dms, i).try_cast("double") for i in (2, 3))
-    s = F.translate(F.regexp_extract("_raw", dms, 4), ",", ".").try_cast("double")
-    dms_value = F.abs(d) + m / 60 + s / 3600
-    dms_sign = F.when(F.regexp_extract("_raw", dms, 2).startswith("-"), -1).otherwise(1)
-    in_value = (
-        F.when(F.col("_dms"), F.lit("dms"))
-        .when(is_lat & F.col("_raw").rlike(r"^\s*[NSns]?\s*[+-]?\d{1,2}(?:[.,]\d+)?\s*°\s*[NSns]?\s*$"), F.lit("deg"))
-        .when(~is_lat, _by_field(F.col("field_name"), _spelling(rest)))
-    )
-    out = (
-        long.withColumn("_dms_value", F.when(F.col("_dms"), dms_value * dms_sign))
-        .withColumn("_u_value", in_value)
-        .withColumn("_u_note", F.try_element_at(F.filter("_note", lambda s: s["f"] == F.col("field_name")), F.lit(1))["u"])
-        .join(_declared(units), (F.col("provider_id") == F.col("_p")) & (F.col("field_name") == F.col("_f")), "left")
-    )
-    none = F.array().cast("array<struct<lo:array<int>,hi:array<int>,unit:string>>")
-    in_range = lambda x: (x["lo"].isNull() | (F.col("_fw") >= x["lo"])) & (x["hi"].isNull() | (F.col("_fw") < x["hi"]))
-    out = out.withColumn("_hit", F.try_element_at(F.filter(F.coalesce("_decl", none), in_range), F.lit(1)))
-    told = F.coalesce("_u_value", "_u_note", F.col("_hit.unit"))
-    # A declared notation that the digits rule out (more than 90 degrees, minutes of 60 or more) is no declaration.
-    return (
-        out.withColumn("_t0", told)
-        .withColumn("_told", F.when(~is_lat | F.col("_dms") | _fits("_num", "_digits", "_raw", F.col("_t0")), F.col("_t0")))
-        .withColumn("_by", F.when(F.col("_told").isNull(), F.lit("inferred")).when(F.col("_u_value").isNotNull(), F.lit("value")).when(F.col("_u_note").isNotNull(), F.lit("note")).otherwise(F.lit("declared")))
-        .withColumn("_group", F.concat_ws("|", "provider_id", F.concat_ws(".", F.col("_hit.lo").cast("array<string>")), F.concat_ws(".", F.col("_hit.hi").cast("array<string>")), F.when(F.col("_hit").isNull(), F.concat_ws(".", F.slice("_fw", 1, 2).cast("array<string>")))))
-        .where(F.col("_num").isNotNull() | F.col("_dms_value").isNotNull())
-        .where(F.coalesce("_num", "_dms_value").between(-1e300, 1e300))
-        .select("reading_id", "field_name", "raw_value", "_num", "_dms_value", "_digits", "_south", "_raw", "_told", "_by", "_group")
-    )
-
+    """Long rows (one per present value) with the number, the unit told and by what; repeated rows once.
 
-def _fits(num: str, digits: str, raw: str, unit: Column) -> Column:
-    """Whether a numeral can be a latitude in that notation."""
-    n, has_point = F.abs(F.col(num)), F.col(raw).rlike(r"\d[.,]\d")
-    minutes = n - F.floor(n / 100) * 100
-    return (
-        F.when(unit == "deg", (n <= 90) & ~(F.col(raw).rlike(r"^\s*[NSns]?\s*[+-]?0\d")))
-        .when(unit == "ddmm", (F.length(digits).between(3, 4)) & (n <= 9000) & (minutes < 60) & has_point)
-        .when(unit == "e7", ~has_point & (n <= 9e8))
-        .when(unit == "dms", F.lit(False))
-        .otherwise(F.lit(True))
-    )
+    The declarations (a fixed table of the providers' fields) are read to the driver, ``MOST_DECLARED`` of them at most.
+    """
+    rows = units.select("provider_id", "field_name", "firmware_from", "firmware_before", "unit_text").where("provider_id is not null and field_name is not null").distinct().limit(MOST_DECLARED + 1).collect()
+    if len(rows) > MOST_DECLARED:
+        raise ValueError(f"more than {MOST_DECLARED} declarations")
+    declared: dict[tuple[str, str], list[tuple]] = {}
+    for r in rows:
+        declared.setdefault((r[0], r[1]), []).append((version(r[2]), version(r[3]), declared_unit(r[1], r[4])))
+    for d in declared.values():  # of overlapping ones the later start holds
+        d.sort(key=lambda x: (x[0] or (), x[1] or (), x[2] or ""), reverse=True)
+    parsed = readings.select("reading_id", "provider_id", "firmware", "unit_note", *FIELDS).mapInArrow(_parser(declared), PARSED)
+    # distinct() keeps all columns in the exchange: the fits and the assignment share it, so each value is parsed once.
+    return hashed(parsed, "reading_id").distinct()
 
 
 def _si(unit: Column) -> Column:
     """The value on the project's scale, for a unit column."""
-    n = F.col("_num")
+    n = F.col("num")
     table = ", ".join(f"'{f}|{u}', {k!r}D" for f, us in FACTORS.items() for u, k in us.items() if u not in ("ddmm", "dms"))
     whole = F.floor(F.abs(n) / 100)
     packed = F.signum(n) * (whole + (F.abs(n) - whole * 100) / 60)
     linear = n * F.try_element_at(F.expr(f"map({table})"), F.concat("field_name", F.lit("|"), unit))
-    v = F.when(F.col("_dms_value").isNotNull(), F.col("_dms_value")).when(unit == "ddmm", packed).otherwise(linear)
-    return F.when(F.col("_south"), -F.abs(v)).otherwise(v)
+    v = F.when(F.col("dms_value").isNotNull(), F.col("dms_value")).when(unit == "ddmm", packed).otherwise(linear)
+    return F.when(F.col("south"), -F.abs(v)).otherwise(v)
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -212,6 +266,9 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     Components share the field's mean and spread (from readings with told units); only weights are free. A sparse
     prior (alpha 0.5) favours few units per group. Bounded: rows are log bins.
     """
+    pdf = pdf[pdf["_group"].notna() & pdf["bin"].notna()]
+    if not len(pdf):
+        return pd.DataFrame(columns=["_g", "_f2", "units", "weight", "centre", "spread"], dtype=object)
     field = pdf["field_name"].iloc[0]
     units = [u for u in FACTORS[field] if u != "dms"]
     off = -np.log10([FACTORS[field][u] for u in units])
@@ -238,39 +295,38 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 def resolve_units(readings: DataFrame, units: DataFrame, weak: float = 0.9) -> DataFrame:
     """(reading_id, field_name, raw_value, unit_code, value, told_by, posterior, uncertain), one row per value."""
     told = told_units(readings, units)
-    log = F.log10(F.abs(F.col("_num")))
-    # One pass over the readings: log bins of told values on the project's scale, of the others as they stand.
-    known = F.col("_told").isNotNull()
-    binned = told.select(
-        "field_name", F.when(~known, F.col("_group")).alias("_group"), F.floor(F.log10(F.abs(F.when(known, _si(F.col("_told"))).otherwise(F.col("_num")))) / BIN).alias("bin")
-    ).where("bin is not null")
-    counts = binned.groupBy("_group", "field_name", "bin").agg(F.count("*").alias("n"))
-    x, n = F.col("bin") * BIN, F.when(F.col("_group").isNull(), F.col("n"))
-    per_field = Window.partitionBy("field_name")
-    total, mean = F.sum(n).over(per_field), F.sum(n * x).over(per_field) / F.sum(n).over(per_field)
-    hist = counts.withColumn("mu", mean).withColumn("sd", F.sqrt(F.sum(n * F.pow(x - F.col("mu"), 2)).over(per_field) / total)).where("_group is not null")
-    fitted = (
-        hist.groupBy("_group", "field_name").applyInPandas(_fit, "_g string, _f2 string, units array<string>, weight array<double>, centre array<double>, spread double")
-    )
-    j = told.join(fitted, F.col("_told").isNull() & (F.col("_group") == F.col("_g")) & (F.col("field_name") == F.col("_f2")), "left")
-    is_lat = F.col("field_name") == "lat"
+    # Log bins of told values on the project's scale (no group), of the others as they stand.
+    known = F.col("told").isNotNull()
+    log_bin = F.floor(F.log10(F.abs(F.when(known, _si(F.col("told"))).otherwise(F.col("num")))) / BIN)
+    counts = told.groupBy(F.when(~known, F.col("grp")).alias("_group"), "field_name", log_bin.alias("bin")).agg(F.count("*").alias("n"))
+    # No filters here: they would go below the exchange of the parsed values, which then could not be shared.
+    x, n = F.col("bin") * BIN, F.when(F.col("_group").isNull() & F.col("bin").isNotNull(), F.col("n"))
+    scale = counts.groupBy(F.col("field_name").alias("_f")).agg((F.sum(n * x) / F.sum(n)).alias("mu"), (F.sum(n * x * x) / F.sum(n)).alias("m2"))
+    scale = scale.select("_f", "mu", F.sqrt(F.greatest(F.col("m2") - F.col("mu") ** 2, F.lit(0.0))).alias("sd"))
+    # One row per field is broadcast: four at most.
+    hist = counts.join(F.broadcast(scale), F.col("field_name").eqNullSafe(F.col("_f")), "left").drop("_f")
+    fitted = hist.groupBy("_group", "field_name").applyInPandas(_fit, "_g string, _f2 string, units array<string>, weight array<double>, centre array<double>, spread double")
+    j = told.join(fitted, ~known & (F.col("grp") == F.col("_g")) & (F.col("field_name") == F.col("_f2")), "left")
+    log = F.log10(F.abs(F.col("num")))
+    names = F.array(*[F.lit(u) for u in FACTORS["lat"]])
+    possible = lambda u: F.getbit(F.col("can"), F.array_position(names, u).cast("int") - 1) == 1
     scores = F.transform(
         F.col("units"),
         lambda u, i: F.struct(
             (
                 F.log(F.element_at("weight", i + 1))
-                - F.when(F.col("_num") == 0, 0.0).otherwise(0.5 * F.pow((log - F.element_at("centre", i + 1)) / F.col("spread"), 2))
-                - F.when(is_lat & ~_fits("_num", "_digits", "_raw", u), 1e6).otherwise(0.0)
+                - F.when(F.col("num") == 0, 0.0).otherwise(0.5 * F.pow((log - F.element_at("centre", i + 1)) / F.col("spread"), 2))
+                - F.when((F.col("field_name") == "lat") & ~possible(u), 1e6).otherwise(0.0)
             ).alias("s"),
             u.alias("u"),
         ),
     )
-    j = j.withColumn("_scores", F.when(F.col("_told").isNull(), scores)).withColumn("_best", F.array_max("_scores"))
+    j = j.withColumn("_scores", F.when(~known, scores)).withColumn("_best", F.array_max("_scores"))
     post = 1 / F.aggregate("_scores", F.lit(0.0), lambda a, s: a + F.exp(s["s"] - F.col("_best.s")))
-    first = F.try_element_at(_table({f: next(iter(us)) for f, us in FACTORS.items()}), F.col("field_name"))
-    j = j.withColumn("unit_code", F.coalesce("_told", F.col("_best.u"), first)).withColumn("posterior", F.when(F.col("_told").isNotNull(), 1.0).otherwise(post))
+    first = reduce(lambda c, f: c.when(F.col("field_name") == f, F.lit(UNITS[f][0])), FIELDS, F.when(F.lit(False), F.lit("")))
+    j = j.withColumn("unit_code", F.coalesce("told", F.col("_best.u"), first)).withColumn("posterior", F.when(known, 1.0).otherwise(post))
     return j.select(
-        "reading_id", "field_name", "raw_value", "unit_code", _si(F.col("unit_code")).alias("value"), F.col("_by").alias("told_by"),
+        "reading_id", "field_name", "raw_value", "unit_code", _si(F.col("unit_code")).alias("value"), "told_by",
         "posterior", (F.coalesce("posterior", F.lit(0.0)) < weak).alias("uncertain"),
     )
 

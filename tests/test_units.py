@@ -61,3 +61,20 @@ def test_missing_repeated_and_extra(spark):
     got = foreign_units(r.withColumn("value", F.lit(1)).withColumn("unit_code", F.lit("x")), u)
     assert [tuple(x) for x in got.collect()] == [(3, "ax_mps2", "mg")]
     assert foreign_units(r.limit(0), u).count() == 0 and foreign_units(r, u.limit(0)).count() >= 0
+
+
+def test_parts_of_a_value():
+    from roadgrain.operators.units import declared_unit, fits, value_parts
+
+    assert value_parts("ax_mps2", "1,5 m/s²") == (1.5, None, "m_s2", 0, False)
+    assert value_parts("gx_rad_s", "−0.25 [°/s]") == (-0.25, None, "deg_s", 0, False)
+    assert value_parts("gx_rad_s", "3 rps")[2] is None  # turns or radians: left to the mixture
+    assert value_parts("speed_obd_mps", " 12 ") == (12.0, None, None, 0, False)
+    for missing in ("", "n/a", "NaN", "--", None, "inf", "no number"):
+        assert value_parts("ax_mps2", missing) is None
+    n, d, unit, _, south = value_parts("lat", "12°30'36\" S")
+    assert (n, unit, south) == (None, "dms", True) and abs(d - 12.51) < 1e-9
+    assert value_parts("lat", "45d 30m 10s")[4] is False  # seconds, not south
+    assert value_parts("lat", "48.5°")[2] == "deg"
+    assert fits("4830.5", 4830.5, 4, "ddmm") and not fits("4870.5", 4870.5, 4, "ddmm") and not fits("95.0", 95.0, 2, "deg") and fits("485000000", 485e6, 9, "e7")
+    assert declared_unit("ax_mps2", "acc is sent in milli-g; see notes") == "mg" and declared_unit("lat", "see data sheet") is None
