@@ -1,11 +1,14 @@
 """Problem 9: held-out test passages inside a training corpus.
 
 Documents and passages become words of plain writing (markup, entities, look-alike letters, invisible characters and
-case removed). A document joins the passages of whose words it holds the asked share anywhere, a word with a small
-change in its writing counting as itself: nothing that can be a case is left out. For each such pair an alignment asks
-what the project's definition asks, the share of the passage's words carried in order and close together. Greedy string
-tiling measures the cases: the longest common word runs that don't overlap are marked again and again, found by
-Karp-Rabin hashes of shrinking length; reordered and broken passages keep their tiles.
+case removed; scripts without blanks letter by letter), and a document's word that is a passage's with a small slip of
+writing counts as that word. Greedy string tiling covers each passage with the longest word runs of a document that don't
+overlap, marked again and again, found by Karp-Rabin hashes of shrinking length. A passage leaked into a document if its
+tiles cover the asked share of it, in whatever order (``tile_cover``), or if an alignment finds the share in order and
+close together (``carried``); ``p9_found`` are the pairs of the second kind, as the project's definition asks.
+
+Nothing that can be a case is left out: a pair is tiled and aligned if the passage's words that stand anywhere in the
+document, slips forgiven, make up the share, which both measures need.
 
 Defined results: null, blank and empty texts and passages match nothing; the stem plays no part; passages under
 ``least_words`` words are never matched; equal documents are each reported; repeated item rows count once; texts are
@@ -23,24 +26,26 @@ import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgrain.session import spread
-
 #: Cyrillic and Greek letters and the Latin ones they are mistaken for.
-LOOKALIKES = str.maketrans(
+LOOKALIKES = dict(zip(
     "абвгеёзикмнорстухіјѕԁһԛԝүАВЕКМНОРСТУХІЈЅαβεικνορτυχηωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
     "a6bree3ukmhopctyxijsdhqwyabekmhopctyxijsabeiknoptuxnwabezhikmnoptyx",
-)
+))
+LETTERS = re.compile("[" + "".join(LOOKALIKES) + "]")
 INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿︀-️]")
-TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|\[/?[a-zA-Z]{1,12}(?:=[^\]\n]{0,80})?\]")
+TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|\[/?[a-zA-Z]+(?:=[^\]\n]*)?\]")
 BROKEN = re.compile(r"(?<=[a-z])-[ \t]*\n[>|: \t]*(?=[a-z])")
-WORD = re.compile(r"[^\W_]+")
+#: Letters of scripts that are written without blanks are words of their own: kana, Han, Thai, Lao, Khmer, Burmese.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+WORD = re.compile(rf"[{ALONE}]|[^\W_{ALONE}]+")
+#: Combining marks of Latin, Greek, Cyrillic, Hebrew and Arabic letters, the kana's, and marks for symbols.
+MARKS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x300, 0x3100) if unicodedata.combining(chr(c))) + "\ufe20-\ufe2f]")
 #: Block of passages sent to the workers at once.
 BLOCK = 2000
 
@@ -56,8 +61,8 @@ def words(text: str | None) -> list[str]:
     if "<" in t or "[" in t:
         t = TAG.sub(" ", t)
     if not t.isascii():
-        t = unicodedata.normalize("NFKD", t).translate(LOOKALIKES)
-        t = "".join(c for c in t if not unicodedata.combining(c))
+        t = LETTERS.sub(lambda m: LOOKALIKES[m.group()], unicodedata.normalize("NFKD", t))
+        t = MARKS.sub("", t)
     t = t.lower()
     if "-" in t:
         t = BROKEN.sub("", t)
@@ -65,23 +70,28 @@ def words(text: str | None) -> list[str]:
 
 
 def tiles(p: list, t: list, least: int = 2) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in p, start in t, length) of non-overlapping common runs, longest first."""
-    mp, mt, out = bytearray(len(p)), bytearray(len(t)), []
+    """Greedy string tiling: (start in p, start in t, length) of non-overlapping common runs, longest first.
+
+    A None in t is a word that equals none of p's.
+    """
+    mp, mt, out = bytearray(len(p)), bytearray(x is None for x in t), []
     hp, ht = [hash(x) & 0xFFFFFFF for x in p], [hash(x) & 0xFFFFFFF for x in t]
     mod, base = (1 << 61) - 1, 1_000_003
 
     def windows(h: list[int], marked: bytearray, s: int) -> Iterator[tuple[int, int]]:
-        """Rolling hashes of the unmarked runs of length s."""
-        top, run, v = pow(base, s, mod), 0, 0
-        for i, x in enumerate(h):
-            if marked[i]:
-                run = v = 0
+        """Rolling hashes of length s in the unmarked runs."""
+        top, z = pow(base, s, mod), 0
+        while (a := marked.find(0, z)) >= 0:
+            z = marked.find(1, a)
+            z = len(h) if z < 0 else z
+            if z - a < s:
                 continue
-            v = (v * base + x) % mod
-            run += 1
-            if run > s:
-                v = (v - h[i - s] * top) % mod
-            if run >= s:
+            v = 0
+            for x in h[a : a + s]:
+                v = (v * base + x) % mod
+            yield a, v
+            for i in range(a + s, z):
+                v = (v * base + h[i] - h[i - s] * top) % mod
                 yield i - s + 1, v
 
     s = min(len(p), len(t), 32)
@@ -125,34 +135,41 @@ def alike(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if n > m else a[i:] == b[i + 1 :]
 
 
-def carried(p: list[str], t: list[str], slack: float = 2.0) -> float:
-    """Largest share of p's words that stand in t in order within a stretch of ``slack`` times p's length."""
+def carried(p: list, t: list, slack: float = 2.0, near: dict | None = None) -> float:
+    """Largest share of p's words that stand in t in order within a stretch of ``slack`` times p's length.
+
+    ``near`` holds the words of t that count as words of p, as tuples of these; without it only equal words count.
+    """
     reach, best = int(len(p) * slack) + 1, 0
     eq = defaultdict(list)
     for i, w in enumerate(p):
         eq[w].append(i)
-    memo: dict[str, list[int]] = {}
+    memo: dict = {}
     hits: list[tuple[int, list[int]]] = []
     for j, w in enumerate(t):
-        if w not in memo:
-            memo[w] = eq.get(w) or [i for i, x in enumerate(p) if alike(x, w)]
-        if memo[w]:
-            hits.append((j, memo[w]))
-    starts, k = [], -(10**9)
-    for j, _ in hits:  # windows that step by a quarter of the passage
-        if j - k >= max(1, len(p) // 4):
-            starts.append(j)
-            k = j
-    for s in starts:
+        pos = memo.get(w)
+        if pos is None:
+            pos = eq.get(w) or (sorted(i for x in near[w] for i in eq.get(x, ())) if near and w in near else [])
+            memo[w] = pos
+        if pos:
+            hits.append((j, pos))
+    at = [j for j, _ in hits]
+    k = -(10**9)
+    for n, s in enumerate(at):  # windows that step by a quarter of the passage
+        if s - k < max(1, len(p) // 4):
+            continue
+        k = s
+        end = bisect_left(at, s + reach)
+        if end - n <= best:
+            continue
         row: list[int] = []  # patience sorting: the least end of a chain of each length
-        for j, pos in hits:
-            if s <= j < s + reach:
-                for i in reversed(pos):
-                    x = bisect_left(row, i)
-                    if x == len(row):
-                        row.append(i)
-                    else:
-                        row[x] = i
+        for _, pos in hits[n:end]:
+            for i in reversed(pos):
+                x = bisect_left(row, i)
+                if x == len(row):
+                    row.append(i)
+                else:
+                    row[x] = i
         best = max(best, len(row))
     return best / len(p)
 
@@ -165,6 +182,9 @@ def shortened(w: str) -> set[str]:
 class Passages:
     """A block of passages with the places of their words."""
 
+    #: Words of documents whose passage words are remembered.
+    MEMO = 200_000
+
     def __init__(self, items: list[tuple[int, list[str]]]):
         self.items = items
         self.n_words = np.array([len(w) for _, w in items], dtype="float64")
@@ -172,36 +192,52 @@ class Passages:
         for k, (_, w) in enumerate(items):
             for x in w:
                 counts[x][k] = counts[x].get(k, 0) + 1
-        self.places = {x: (np.array(list(c)), np.array(list(c.values()))) for x, c in counts.items()}
-        near: dict[str, list[str]] = defaultdict(list)
+        self.places = {x: np.array([list(c), list(c.values())]) for x, c in counts.items()}
+        self.near: dict[str, list[str]] = defaultdict(list)
         for x in counts:
             for key in shortened(x):
-                near[key].append(x)
+                self.near[key].append(x)
+        self.memo: dict[str, tuple[str, ...]] = {}
 
-        @lru_cache(maxsize=200_000)
-        def like(w: str) -> tuple[str, ...]:
-            return tuple(x for x in {x for key in shortened(w) for x in near.get(key, ())} if alike(x, w))
-
-        self.like = like
+    def like(self, w: str) -> tuple[str, ...]:
+        """The passages' words that a document's word counts as."""
+        got = self.memo.get(w)
+        if got is None:
+            near = self.near
+            got = tuple(sorted(x for x in {x for key in shortened(w) if key in near for x in near[key]} if alike(x, w)))
+            if len(self.memo) >= self.MEMO:
+                self.memo.clear()
+            self.memo[w] = got
+        return got
 
     def matches(self, text: str | None, share: float) -> list[tuple[int, float, float]]:
+        """(item, tile cover, carried) of the passages of which one of the two reaches the share."""
         w = words(text)
-        # More of a passage than the words that stand anywhere in the text, slips forgiven, can't be carried.
+        known = {v: x for v in set(w) if (x := self.like(v))}
+        if not known:
+            return []
+        # More of a passage than the words that stand anywhere in the text, slips forgiven, can't be covered or carried.
         there = np.zeros(len(self.items), dtype="int64")
-        for x in {x for v in set(w) for x in self.like(v)}:
-            at, n = self.places[x]
-            there[at] += n
+        got = np.concatenate([self.places[x] for x in {x for xs in known.values() for x in xs}], axis=1)
+        np.add.at(there, got[0], got[1])
         out = []
         for k in np.flatnonzero(there / self.n_words >= share):
             item, p = self.items[k]
-            c = carried(p, w)
-            if c >= share:
-                out.append((item, sum(n for _, _, n in tiles(p, w)) / len(p), c))
+            own = set(p)
+            # The text in the passage's words, for the tiles: a word counts as itself before any other.
+            t = [v if v in own else next((x for x in known.get(v, ()) if x in own), None) for v in w]
+            cover = sum(n for _, _, n in tiles(p, t)) / len(p)
+            c = carried(p, w, near=known)
+            if max(cover, c) >= share:
+                out.append((item, cover, c))
         return out
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, least_words: int = 12, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, tile_cover, carried) of every document that carries ``share`` of a passage.
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, least_words: int = 5, block: int = BLOCK, partitions: int | None = None) -> DataFrame:
+    """(doc_id, item_id, tile_cover, carried) of every document that holds ``share`` of a passage in tiles or in order.
+
+    ``partitions`` spreads a corpus of fewer splits than cores over so many tasks, which shuffles its texts; by default
+    the scan's splits stay.
 
     Runs one small action per call: the passages (a stated query set) are read to the driver, block by block.
     """
@@ -214,7 +250,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, least
                 blocks.append([])
             blocks[-1].append((item, w))
     schema = "doc_id long, item_id long, tile_cover double, carried double"
-    texts, out = spread(documents.select("doc_id", "text").where(F.col("text").isNotNull())), None
+    texts, out = documents.select("doc_id", "text").where(F.col("text").isNotNull()), None
+    texts = texts.repartition(partitions) if partitions else texts
     for b in blocks:
         sent = spark.sparkContext.broadcast(b)
 

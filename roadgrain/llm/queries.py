@@ -30,7 +30,7 @@ def p8_ids(s: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(s: SparkSession, d: str) -> DataFrame:
-    return find_leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id").distinct()
+    return find_leaks(table(s, d, "documents"), table(s, d, "eval_items")).where("carried >= 0.6").select("doc_id", "item_id").distinct()
 
 
 def p9_coverage(s: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p10_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p10_pieces(s: SparkSession, d: str) -> DataFrame:
-    return split_documents(table(s, d, "documents")).select("doc_id", "piece_no", "n_pieces", "first_token", "n_tokens", "overlap", "cut", "text")
+    return split_documents(table(s, d, "documents")).select("doc_id", "piece_no", "n_pieces", "first_token", "n_tokens", "overlap", "cut", "text", "cut_bytes")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

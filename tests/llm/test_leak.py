@@ -1,6 +1,6 @@
 import random
 
-from roadgrain.llm.leak import alike, carried, find_leaks, tiles, words
+from roadgrain.llm.leak import Passages, alike, carried, find_leaks, tiles, words
 
 P = "Whoever floats 13 jars must also carry 29 hollow rings near the tilted pier while Sekvis lent an orchard manager 21 amber blocks and the ferry cook counts what remained before dusk"
 OTHER = "The dealer cleaned my antenna lead again and charged two hundred crowns but the odometer still drifts whenever the radio is on near the weighbridge in heavy rain"
@@ -67,3 +67,63 @@ def test_slips_in_all_longer_words(spark):
     d = spark.createDataFrame([(1, OTHER + " " + slips + " " + OTHER), (2, OTHER + OTHER)], "doc_id long, text string")
     got = find_leaks(d, spark.createDataFrame([(1, "a", None, P)], I)).collect()
     assert [(r.doc_id, r.item_id, r.carried) for r in got] == [(1, 1, 1.0)]
+
+
+def test_reordered_passages_are_covered_but_not_carried(spark):
+    w = P.split()
+    q = len(w) // 4
+    quarters = [w[i * q : (i + 1) * q] if i < 3 else w[3 * q :] for i in range(4)]
+    mixed = " ".join(x for i in (3, 1, 2, 0) for x in quarters[i])
+    d = spark.createDataFrame([(1, OTHER + " " + mixed + " " + OTHER), (2, P), (3, OTHER)], "doc_id long, text string")
+    got = {r.doc_id: r for r in find_leaks(d, spark.createDataFrame([(1, "a", None, P)], I)).collect()}
+    assert set(got) == {1, 2} and got[1].tile_cover == 1.0 and got[1].carried < 0.6 and got[2].carried == 1.0
+
+
+def brute(passage, text, share):
+    """Both measures by their definitions, over every pair: no search for candidates."""
+    p, w = words(passage), words(text)
+    if not w:
+        return None
+    own = set(p)
+    same = lambda a, b: a == b if b in own else alike(a, b)  # noqa: E731  a word counts as itself before any other
+    reach, best = 2 * len(p) + 1, 0
+    for s in range(0, len(w), max(1, len(p) // 8)):
+        t = w[s : s + reach]
+        row = [0] * (len(p) + 1)
+        for x in t:
+            old = row[:]
+            for i, y in enumerate(p):
+                row[i + 1] = max(old[i + 1], row[i], old[i] + same(y, x))
+        best = max(best, row[-1])
+    return best / len(p)
+
+
+def test_finding_equals_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [w for w in set(words(P) + words(OTHER)) if len(w) > 2] + [f"word{i}x" for i in range(60)]
+    passages = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(14, 30))) for _ in range(12)]
+    docs = []
+    for n in range(150):
+        w = rng.choice(passages).split()
+        keep = rng.uniform(0.3, 1.0)
+        a = rng.randint(0, int(len(w) * (1 - keep)))
+        part = [x if rng.random() < 0.8 or len(x) < 5 else x[:2] + "q" + x[3:] for x in w[a : a + int(len(w) * keep) + 1]]
+        if n % 5 == 0:
+            rng.shuffle(part)
+        pad = lambda: [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        docs.append((n, " ".join(pad() + part + pad())))
+    items = [(k, "a", None, p) for k, p in enumerate(passages)]
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, I)).collect()}
+    found = {k for k, r in got.items() if r.carried >= 0.6}
+    want = {(d, k): brute(p, t, 0.6) for d, t in docs for k, p in enumerate(passages)}
+    # The windows of the two step differently, so pairs just at the share may differ.
+    assert {k for k, c in want.items() if c >= 0.65} <= found <= {k for k, c in want.items() if c >= 0.55}
+    assert len(found) > 40
+    for (d, k), r in got.items():
+        assert max(r.tile_cover, r.carried) >= 0.6
+
+
+def test_scripts_without_blanks_and_long_tags():
+    assert words("私はカメラ") == list("私はカメラ") and words("<a href='" + "x" * 500 + "'>b</a>") == ["b"]
+    p = Passages([(1, words("東京都の図書館で本を借りた"))])
+    assert [m[0] for m in p.matches("昨日、東京都の図書館で本を借りたよ", 0.6)] == [1]
