@@ -19,9 +19,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
-
-from roadgrain.session import spread
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where the public vocabulary files lie; a parameter of every function that needs one.
 VOCAB_DIR = os.environ.get("ROADGRAIN_TOKENIZERS", "/opt/tokenizers")
@@ -155,6 +154,16 @@ class ByteBPE:
 _LOADED: dict[str, ByteBPE] = {}
 
 
+def send(spark: SparkSession, name: str, vocab_dir: str) -> None:
+    """Sends the vocabulary file from the driver to the executors, once per application."""
+    sc, path = spark.sparkContext, os.path.join(vocab_dir, f"{name}.tiktoken")
+    sent = sc.__dict__.setdefault("_roadgrain_vocabularies", {})
+    if name not in sent:
+        sc.addFile(path)
+    if sent.setdefault(name, path) != path:
+        raise ValueError(f"another vocabulary of the name {name} was sent before: {sent[name]}")
+
+
 def load(name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR) -> ByteBPE:
     """The encoder of ``<vocab_dir>/<name>.tiktoken``, once per Python worker."""
     path = os.path.join(vocab_dir, f"{name}.tiktoken")
@@ -163,15 +172,21 @@ def load(name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR) -> ByteBPE:
     return _LOADED[path]
 
 
-def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR, distinct: bool = False) -> DataFrame:
-    """(id, ids array<int>) of every document."""
+def encode_corpus(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR, distinct: bool = False, partitions: int | None = None
+) -> DataFrame:
+    """(id, ids array<int>) of every document.
+
+    ``partitions`` spreads a corpus of fewer splits than cores over so many tasks, which shuffles its texts; by default
+    the scan's splits stay and nothing is shuffled.
+    """
+    send(documents.sparkSession, name, vocab_dir)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = load(name, vocab_dir)
+        enc = load(name, SparkFiles.getRootDirectory())
         for b in batches:
             yield pd.DataFrame({id_col: b[id_col], "ids": [enc.encode(t) for t in b[text_col]]})
 
-    d = spread(documents.select(id_col, text_col))
-    # Without distinct there is no shuffle but for a scan too small for the cores.
-    out = (d.dropDuplicates([id_col]) if distinct else d).mapInPandas(run, f"`{id_col}` long, ids array<int>")
-    return out
+    d = documents.select(id_col, text_col)
+    d = d.repartition(partitions) if partitions else d
+    return (d.dropDuplicates([id_col]) if distinct else d).mapInPandas(run, f"`{id_col}` long, ids array<int>")

@@ -10,7 +10,8 @@ one instant the smallest id is taken; no candidate gives no row (or a null with
 clashing column names are ignored, only the named columns are read; empty tables give no rows.
 
 Skew: the key is (entity, the timestamp's prefix of ``HIGH`` bits up), so a hot entity is spread over its time; records
-near a border are sent to both sides, so each point meets all its candidates in one group.
+near a border are sent to both sides, so each point meets all its candidates in one group. Repeated rows are thinned out
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgrain.session import hashed
+from roadgrain.session import hashed, thinned
 
 #: Low bits that one trie spans: 2^28 us are 268 seconds of one entity.
 HIGH = 28
@@ -81,8 +82,9 @@ class XFastTrie:
 def _match(tolerance: int, keep_unmatched: bool):
     def solve(b: pd.DataFrame) -> pd.DataFrame:
         # Dense numbers for the groups go above the low bits, so one trie holds each group's own subtree.
-        code = pd.factorize(pd.Series(list(zip(b["entity"], b["high"]))), sort=False)[0].astype("int64")
-        base = b["high"].to_numpy() << HIGH
+        high = b["high"].to_numpy()
+        code = pd.factorize((pd.factorize(b["entity"])[0].astype("int64") << 36) + (high - high.min()))[0].astype("int64")
+        base = high << HIGH
         # A copy from a neighbouring group lies outside the span by at most the tolerance.
         key = (code << (HIGH + 2)) + (b["us"].to_numpy() - base) + (1 << HIGH)
         side = b["side"].to_numpy()
@@ -139,5 +141,5 @@ def nearest_in_time(
     spread = F.array_distinct(F.array(high(F.col("us")), high(F.col("us") - tolerance_us), high(F.col("us") + tolerance_us)))
     r = cols(records, record_id, 0).withColumn("high", F.explode(spread))
     p = cols(points, point_id, 1).withColumn("high", high(F.col("us")))
-    both = hashed(r.unionByName(p), "entity", "high").sortWithinPartitions("entity", "high")
+    both = hashed(thinned(r.unionByName(p)), "entity", "high").sortWithinPartitions("entity", "high")
     return both.mapInPandas(_match(tolerance_us, keep_unmatched), "point_id long, match_id long, delta_us long")

@@ -17,18 +17,18 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgrain.llm.bpe import VOCAB_DIR, ByteBPE, load
-from roadgrain.session import spread
+from roadgrain.llm.bpe import VOCAB_DIR, ByteBPE, load, send
 
 KINDS = ["inside", "word", "clause", "sentence", "line", "paragraph"]
 CLOSERS = "\"')]}»”’"
 SENTENCE_END, CLAUSE_END = tuple(".!?…。！？؟۔"), tuple(",;:،；，")
 #: Marks after which scripts without blanks may be cut.
 WIDE = tuple("。！？、，；：")
-SCHEMA = "doc_id long, piece_no int, n_pieces int, doc_tokens long, first_token long, n_tokens int, overlap int, cut string, ids array<int>, text string"
+SCHEMA = "doc_id long, piece_no int, n_pieces int, doc_tokens long, first_token long, n_tokens int, overlap int, cut string, ids array<int>, text string, cut_bytes int"
 
 
 def strength(before: str, after: str) -> int:
@@ -106,22 +106,44 @@ def split_text(text: str | None, enc: ByteBPE, limit: int, overlap: int) -> tupl
     return ids, [(max(0, a - overlap), z, a - max(0, a - overlap), kind) for (a, kind), (z, _) in zip(edges, edges[1:])]
 
 
-def split_documents(documents: DataFrame, limit: int = 512, overlap: int = 64, name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR) -> DataFrame:
-    """One row per piece: its place, ids (with the overlap in front), text and the kind of cut before it."""
+def whole_characters(raw: bytes) -> tuple[str, int]:
+    """The text of a piece's bytes and how many bytes at its ends are left out of it, being parts of characters."""
+    a, z = 0, len(raw)
+    while a < z and 0x80 <= raw[a] < 0xC0:
+        a += 1
+    k = z
+    while k > a and 0x80 <= raw[k - 1] < 0xC0:
+        k -= 1
+    if k > a and raw[k - 1] >= 0xC0:  # the last character starts at k - 1
+        need = 2 if raw[k - 1] < 0xE0 else 3 if raw[k - 1] < 0xF0 else 4
+        z = z if z - (k - 1) == need else k - 1
+    return raw[a:z].decode("utf-8", "surrogatepass"), len(raw) - (z - a)
+
+
+def split_documents(documents: DataFrame, limit: int = 512, overlap: int = 64, name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR, partitions: int | None = None) -> DataFrame:
+    """One row per piece: its place, ids (with the overlap in front), text and the kind of cut before it.
+
+    An overlap starts at a token, which may be inside a character: ``text`` then starts with the next one, and
+    ``cut_bytes`` counts the bytes left out of it (``ids`` are whole). ``partitions`` is as in ``encode_corpus``.
+    """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be under the limit")
+    send(documents.sparkSession, name, vocab_dir)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = load(name, vocab_dir)
+        enc = load(name, SparkFiles.getRootDirectory())
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 ids, parts = split_text(text, enc, limit, overlap)
                 for n, (a, z, o, kind) in enumerate(parts):
-                    rows.append((doc_id, n, len(parts), len(ids), a, z - a, o, kind, ids[a:z], enc.decode(ids[a:z]).decode("utf-8", "replace")))
+                    # An uncut text needs no decoding: it is the piece.
+                    words, gone = (text or "", 0) if len(parts) == 1 else whole_characters(enc.decode(ids[a:z]))
+                    rows.append((doc_id, n, len(parts), len(ids), a, z - a, o, kind, ids[a:z], words, gone))
             yield pd.DataFrame(rows, columns=[re.split(r"\s", c)[0] for c in SCHEMA.split(", ")])
 
-    return spread(documents.select("doc_id", "text")).mapInPandas(run, SCHEMA)
+    d = documents.select("doc_id", "text")
+    return (d.repartition(partitions) if partitions else d).mapInPandas(run, SCHEMA)
 
 
 def oversized(documents: DataFrame, **kw) -> DataFrame:

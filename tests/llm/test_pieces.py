@@ -53,3 +53,13 @@ def test_documents(spark):
     assert split_documents(d.limit(0)).count() == 0
     with pytest.raises(ValueError):
         split_documents(d, 64, 64)
+
+
+def test_texts_of_pieces_hold_whole_characters_only(spark):
+    from roadgrain.llm.pieces import whole_characters
+
+    assert whole_characters("aé漢😀".encode()) == ("aé漢😀", 0)
+    assert whole_characters("é漢".encode()[1:]) == ("漢", 1) and whole_characters("a😀".encode()[:-1]) == ("a", 3) and whole_characters(b"") == ("", 0)
+    text = "漢字😀かな交じり文𝒜𝓑𝒞 " * 400
+    rows = split_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), 64, 16).collect()
+    assert len(rows) > 10 and all("\ufffd" not in r.text and r.text in text and r.cut_bytes < 7 for r in rows)
