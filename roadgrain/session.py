@@ -1,8 +1,7 @@
-"""Session factory and the shared-folder rule for checkpoints."""
+"""Session factory, partitioning by the size of the input, and helpers for Arrow batches in workers."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,22 +29,6 @@ def get_session(app: str = "roadgrain", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable ``checkpoint()`` into the shared folder the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent and the master is local (tests) is a temporary folder set.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="roadgrain-", dir=os.environ.get("TMPDIR"))
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's code to the executors' Python workers, once per application."""
     import zipfile
@@ -64,21 +47,6 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, where a scan is too small to fill them (fewer files than cores, under one split each).
-
-    For expensive work per row on small tables; larger inputs come in enough splits and are left as they are. Only the
-    plan's size estimate and the file list of such a small scan are looked at: no job runs, and no row is lost.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * split or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
-
-
 #: Bytes of input per part of a shuffle by key.
 PART_BYTES = 128 << 20
 
