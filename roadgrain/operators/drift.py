@@ -5,7 +5,7 @@ Each file's schema is inferred as a tagged union: per dotted path the set of JSO
 the whole table), keeping every alternative name and type; a quantity with conflicting types is split into typed
 branches beside a canonical conversion, and each alternative that appears is reported as a change.
 
-Defined results: a line that is no JSON object adds no columns; repeated lines change nothing; null or unreadable
+Defined results: a line that is no JSON object adds no columns and no row; repeated lines change nothing; null or unreadable
 aliases tie nothing; a name tied to several quantities belongs to the first in order; a file without lines has no
 columns; the first file of a dataset has no changes; a missing version is that of the file before; an all-null column
 has no type and so is never retyped; repeated file rows count once; empty tables give no rows.
@@ -32,19 +32,19 @@ def flatten(o: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
             yield prefix + k, None if isinstance(v, dict) else v
 
 
-def _object(line: str | None) -> dict:
+def _object(line: str | None) -> dict | None:
     try:
         o = json.loads(line) if line else None
     except ValueError:
-        return {}
-    return o if isinstance(o, dict) else {}
+        return None
+    return o if isinstance(o, dict) else None
 
 
 def _schemas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         seen: dict[tuple[int, str, str | None], int] = {}
         for file_id, payload in zip(b["file_id"], b["payload"]):
-            for path, v in flatten(_object(payload)):
+            for path, v in flatten(_object(payload) or {}):
                 key = (file_id, path, TYPES.get(type(v)))
                 seen[key] = seen.get(key, 0) + 1
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["file_id", "name", "json_type", "n"])
@@ -71,11 +71,31 @@ def plain_version(v: Column) -> Column:
     return F.when(F.trim(v) == "", F.lit(None)).otherwise(F.regexp_replace(F.array_join(ints, "."), r"^([^.]+(?:\.[^.]+)*?)(?:\.0)+$", "$1"))
 
 
+#: Numbers of files that one block of a dataset's order spans.
+FILES = 4096
+
+
 def _ordered(files: DataFrame) -> DataFrame:
-    w = Window.partitionBy("dataset_id").orderBy("file_no", "file_id")
+    """Each file with the one before and after it and the version before it.
+
+    A dataset's files are ordered in blocks of file numbers; only the blocks' ends meet per dataset.
+    """
     one = files.select("dataset_id", "file_no", "file_id", "version").where("file_id is not null").distinct()
-    return one.withColumn("v", F.last(plain_version(F.col("version")), ignorenulls=True).over(w)).select(
-        "dataset_id", "file_id", "file_no", "v", F.lag("file_id").over(w).alias("prev_id"), F.lead("file_id").over(w).alias("next_id"), F.lag("v").over(w).alias("prev_v")
+    one = one.withColumn("own", plain_version(F.col("version"))).withColumn("b", F.coalesce(F.floor(F.col("file_no") / FILES), F.lit(-1 << 40).cast("long")))
+    w, at = Window.partitionBy("dataset_id", "b").orderBy("file_no", "file_id"), F.struct("file_no", "file_id")
+    told = F.when(F.col("own").isNotNull(), at)
+    ends = one.groupBy("dataset_id", "b").agg(F.min_by("file_id", at).alias("first_id"), F.max_by("file_id", at).alias("last_id"), F.max_by("own", told).alias("last_v"))
+    d = Window.partitionBy("dataset_id").orderBy("b")
+    ends = ends.select(
+        F.col("dataset_id").alias("_d"), F.col("b").alias("_b"), F.lag("last_id").over(d).alias("id_before"), F.lead("first_id").over(d).alias("id_after"),
+        F.last("last_v", ignorenulls=True).over(d.rowsBetween(Window.unboundedPreceding, -1)).alias("v_before"),
+    )
+    x = one.withColumns({"in_block": F.last("own", ignorenulls=True).over(w), "lag_id": F.lag("file_id").over(w), "lead_id": F.lead("file_id").over(w)})
+    x = x.withColumn("lag_v", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.join(ends, F.col("dataset_id").eqNullSafe(F.col("_d")) & (F.col("b") == F.col("_b")), "left")
+    return x.select(
+        "dataset_id", "file_id", "file_no", F.coalesce("in_block", "v_before").alias("v"), F.coalesce("lag_id", "id_before").alias("prev_id"), F.coalesce("lead_id", "id_after").alias("next_id"),
+        F.coalesce("lag_v", "v_before").alias("prev_v"),
     )
 
 
@@ -111,30 +131,70 @@ def schema_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     return drift.unionByName(version)
 
 
-def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for file_id, line_no, payload in zip(b["file_id"], b["line_no"], b["payload"]):
-            for path, v in flatten(_object(payload)):
-                t = TYPES.get(type(v))
-                num = float(v) if t == "number" else None
-                text = v if t == "string" else json.dumps(v) if t == "array" else None
-                out.append((file_id, line_no, path, t, num, text, v if t == "boolean" else None))
-        yield pd.DataFrame(out, columns=["file_id", "line_no", "name", "json_type", "v_number", "v_string", "v_boolean"])
+def fused_schema(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """(quantity, names, types, n_files): the tagged union of all files' schemas, alternative names and types kept."""
+    c = file_schemas(rows).join(alias_pairs(files), "name", "left").withColumn("quantity", F.coalesce("quantity", "name"))
+    types = F.array_sort(F.array_distinct(F.flatten(F.collect_set("types"))))
+    return c.groupBy("quantity").agg(F.array_sort(F.collect_set("name")).alias("names"), types.alias("types"), F.countDistinct("file_id").alias("n_files"))
+
 
+def _wide(quantity_of: dict[str, str], columns: list[tuple[str, str, str]]):
+    """Lines as tuples of the wide table; ``columns`` are (quantity, branch, column)."""
+    places = {(q, kind): i + 2 for i, (q, kind, _) in enumerate(columns)}
 
-def consistent_table(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """One long table: a row per (file, line, quantity), typed branches and the canonical conversion.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for file_id, line_no, payload in zip(b["file_id"], b["line_no"], b["payload"]):
+                o = _object(payload)
+                if o is None:
+                    continue
+                row: list = [file_id, line_no, *[None] * len(columns)]
+                for path, v in flatten(o):
+                    kind = TYPES.get(type(v))
+                    i = places.get((quantity_of.get(path, path), kind))
+                    if i is not None and row[i] is None:  # of two names of one quantity in a line the first counts
+                        row[i] = float(v) if kind == "number" else json.dumps(v) if kind == "array" else v
+                out.append(tuple(row))
+            yield pd.DataFrame(out, columns=["file_id", "line_no", *[c for _, _, c in columns]]).astype({"file_id": "Int64", "line_no": "Int32"})
 
-    ``value`` is the number (text read as a number, true as 1), ``value_ts`` the instant of a quantity named timestamp.
+    return run
+
+
+def consistent_table(files: DataFrame, rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """One wide typed table: a row per line of a file, a column per quantity.
+
+    A quantity of one type is one column of that type. One with conflicting types has a typed branch for each
+    (``<quantity>__number`` and so on) beside its canonical conversion under its own name: the instant of a quantity named
+    timestamp, else the number (text read as a number, true as 1), or the text where no branch holds numbers or booleans.
+
+    Action: the fused schema is read to the driver, as it is the table's schema (``most`` quantities at most). Payloads
+    are never shuffled: repeated lines are found by (file_id, line_no) and the row's values.
     """
-    typed = rows.where("file_id is not null").select("file_id", "line_no", "payload").distinct().mapInPandas(
-        _values, "file_id long, line_no int, name string, json_type string, v_number double, v_string string, v_boolean boolean"
-    )
-    t = typed.join(alias_pairs(files), "name", "left").withColumn("quantity", F.coalesce("quantity", "name"))
-    is_ts = F.col("quantity") == "timestamp"
-    return t.select(
-        "file_id", "line_no", "quantity", F.col("name").alias("source_name"), "json_type", "v_number", "v_string", "v_boolean",
-        F.when(~is_ts, F.coalesce("v_number", F.trim("v_string").try_cast("double"), F.col("v_boolean").cast("double"))).alias("value"),
-        F.when(is_ts, F.coalesce(F.try_to_timestamp("v_string"), F.timestamp_millis(F.col("v_number").cast("long")))).alias("value_ts"),
-    )
+    fused = sorted(((r["quantity"], r["names"], r["types"]) for r in fused_schema(files, rows).limit(most + 1).collect()), key=lambda x: x[0])
+    if len(fused) > most:
+        raise ValueError(f"more than {most} quantities")
+    quantity_of = {n: q for q, names, _ in fused for n in names}
+    columns = [(q, t, f"{q}__{t}") for q, _, types in fused for t in types]
+    ddl = {"number": "double", "string": "string", "boolean": "boolean", "array": "string"}
+    schema = "file_id long, line_no int" + "".join(f", `{c}` {ddl[t]}" for _, t, c in columns)
+    x = rows.where("file_id is not null").select("file_id", "line_no", "payload").mapInPandas(_wide(quantity_of, columns), schema).distinct()
+    out = []
+    for q, _, types in fused:
+        branch = {t: F.col(f"`{q}__{t}`") for t in types}
+        if q == "timestamp":
+            instants = [F.try_to_timestamp(branch["string"])] if "string" in branch else []
+            instants += [F.timestamp_millis(branch["number"].cast("long"))] if "number" in branch else []
+            out.append((F.coalesce(*instants) if instants else F.lit(None).cast("timestamp")).alias(q))
+        elif len(types) == 1:
+            out.append(branch[types[0]].alias(q))
+        elif types:
+            values = [branch["number"]] if "number" in branch else []
+            values += [F.trim(branch["string"]).try_cast("double")] if "string" in branch and set(types) & {"number", "boolean"} else []
+            values += [branch["boolean"].cast("double")] if "boolean" in branch else []
+            out.append((F.coalesce(*values) if values else F.coalesce(*branch.values())).alias(q))
+        else:
+            out.append(F.lit(None).cast("string").alias(q))
+        if len(types) > 1 or q == "timestamp":
+            out += [branch[t].alias(f"{q}__{t}") for t in types]
+    return x.select("file_id", "line_no", *out)

@@ -64,6 +64,11 @@ def p4_series(s: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(s, d, "records"))
 
 
+def p4_fit(s: SparkSession, d: str) -> DataFrame:
+    g = regular_grid(table(s, d, "records"))
+    return g.select("trip_id", "slot_start_s", "n_readings", F.round("support", 4).alias("support"), F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "state")
+
+
 def p5_found(s: SparkSession, d: str) -> DataFrame:
     return copies(table(s, d, "trip_fragments"))
 
@@ -85,7 +90,7 @@ def p7_segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_values, p2_found, p2_changes, p2_schemas, p2_table, p3_found, p3_faults, p3_candidates, p4_found, p4_series, p5_found, p5_files, p5_records, p7_found, p7_segments)
+    own = (p1_found, p1_values, p2_found, p2_changes, p2_schemas, p2_table, p3_found, p3_faults, p3_candidates, p4_found, p4_series, p4_fit, p5_found, p5_files, p5_records, p7_found, p7_segments)
     return {f.__name__: f for f in own}
 
 
@@ -118,6 +123,20 @@ e AS (SELECT trip_id, unnest(generate_series(min(slot), max(slot))) AS slot FROM
 SELECT trip_id, slot * 5 AS slot_start_s FROM e ANTI JOIN l USING (trip_id, slot)
 """
 
+#: The regression by its definition: every reading weighted for every slot beside it.
+_FIT = """
+WITH l AS (SELECT DISTINCT rec_id, trip_id, CAST(floor(epoch_us(ts) / 5000000.0) AS BIGINT) AS slot, epoch_us(ts) / 5000000.0 AS x, lat, lon FROM records
+           WHERE trip_id IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0) AND NOT isnan(lat) AND NOT isnan(lon)),
+e AS (SELECT trip_id, unnest(generate_series(min(slot), max(slot))) AS slot FROM l GROUP BY 1),
+p AS (SELECT e.trip_id, e.slot, l.slot = e.slot AS own, l.x - e.slot - 0.5 AS t, 1 - pow((l.x - e.slot - 0.5) / 1.5, 2) AS w, lat, lon
+      FROM e LEFT JOIN l ON e.trip_id = l.trip_id AND l.slot BETWEEN e.slot - 1 AND e.slot + 1),
+f AS (SELECT trip_id, slot, count(*) FILTER (own) AS n, coalesce(sum(w), 0) AS w0, sum(w * t) AS w1, sum(w * t * t) AS w2, sum(w * lat) AS a0, sum(w * t * lat) AS a1, sum(w * lon) AS o0, sum(w * t * lon) AS o1 FROM p GROUP BY 1, 2)
+SELECT trip_id, slot * 5 AS slot_start_s, n AS n_readings, round(w0, 4) AS support,
+  CASE WHEN w0 >= 0.5 OR n > 0 THEN round(CASE WHEN w0 * w2 - w1 * w1 > 1e-6 * w0 THEN (w2 * a0 - w1 * a1) / (w0 * w2 - w1 * w1) ELSE a0 / w0 END, 4) END AS lat,
+  CASE WHEN w0 >= 0.5 OR n > 0 THEN round(CASE WHEN w0 * w2 - w1 * w1 > 1e-6 * w0 THEN (w2 * o0 - w1 * o1) / (w0 * w2 - w1 * w1) ELSE o0 / w0 END, 4) END AS lon,
+  CASE WHEN n > 0 THEN 'observed' WHEN w0 >= 0.5 THEN 'filled' ELSE 'missing' END AS state FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _FAULTS, "p4_found": _EMPTY_SLOTS}
+    return {"p3_found": _FAULTS, "p4_found": _EMPTY_SLOTS, "p4_fit": _FIT}

@@ -47,3 +47,11 @@ def test_unlocated_and_empty(spark):
     got = {(r.trip_id, r.slot_start_s, r.n_readings) for r in regular_grid(frame(spark, data)).collect()}
     assert got == {("a", 50, 1), ("b", -5, 1)}
     assert regular_grid(frame(spark, data).limit(0)).count() == 0
+
+
+def test_a_trip_over_the_date_line(spark):
+    rows = [(i, "t", 1_000_000 * i, 10.0, 179.9995 + i * 1e-4 if i < 5 else -180.0005 + i * 1e-4) for i in range(12)]
+    f = spark.createDataFrame(rows, "rec_id long, trip_id string, us long, lat double, lon double").selectExpr("rec_id", "trip_id", "timestamp_micros(us) ts", "lat", "lon")
+    for r in regular_grid(f).collect():
+        want = 179.9995 + (r.slot_start_s + 2.5) * 1e-4
+        assert abs((r.lon - want + 180) % 360 - 180) < 1e-6 and -180 <= r.lon <= 180 and abs(r.lat - 10) < 1e-6
