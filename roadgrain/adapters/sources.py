@@ -6,6 +6,7 @@ Every adapter scans each sensor once over all trips or sessions; nothing loops o
 from __future__ import annotations
 
 import re
+import warnings
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,14 +51,21 @@ def load_aegis(
     if with_obd and (root / "obdData.csv").exists():
         o = trips(clock(read_csv(spark, root / "obdData.csv", "trip_id string, timestamp string, obdPid string, data string"))).where("obdPid = '0D'")
         x = asof_join(x, side(o.select("trip_id", "ts", f32(U.kmh_to_mps(F.col("data"))).alias("speed_obd_mps"))), "ts", by, us("obd")).drop("ts_r", "delta_us")
-    x = speed_from_positions(x, by or [F.lit(0)], "ts", cap=80.0, out="speed_mps")
+    x = speed_from_positions(x, by, "ts", cap=80.0, out="speed_mps")
     meta = read_csv(spark, root / "trips.csv", "trip_id string, beaglebone_id string", ts=None)
     x = lookup(x, meta.withColumnRenamed("beaglebone_id", "device_id"), "trip_id", "device_id", "unknown", valid=r"^\d+$")
     return x.dropna(subset=["ax_mps2", "ay_mps2", "az_mps2", "lat", "lon"])
 
 
-#: The surface flags of the road label file, in order of precedence.
-SURFACES = [("speed_bump_asphalt",) * 2, ("speed_bump_cobblestone",) * 2, ("cobblestone_road",) * 2, ("dirt_road",) * 2, ("unpaved_road",) * 2, ("asphalt_road",) * 2]
+#: The surface flags of the road label file, in order of precedence, and the label each stands for.
+SURFACES = [
+    ("speed_bump_asphalt", "speed_bump"),
+    ("speed_bump_cobblestone", "speed_bump_cobble"),
+    ("cobblestone_road", "cobblestone"),
+    ("dirt_road", "dirt"),
+    ("unpaved_road", "unpaved"),
+    ("asphalt_road", "asphalt"),
+]
 
 
 def load_pvs(spark: SparkSession, path: str, trip_idx: int | None = None, placement: str = "dashboard", side: str = "left", labels: bool = False, sparse: bool = False) -> DataFrame:
@@ -139,6 +147,11 @@ def load_uah(spark: SparkSession, path: str, freq_hz: int = 10, start: str = "20
     acc = sorted(Path(path).rglob("RAW_ACCELEROMETERS.txt"))
     if not acc:
         raise FileNotFoundError(f"no accelerometer files under {path}")
+    for p in [p for p in acc if not p.with_name("RAW_GPS.txt").exists()]:
+        warnings.warn(f"trip {p.parent.name} has no position file and is left out", stacklevel=2)
+        acc.remove(p)
+    if not acc:
+        raise FileNotFoundError(f"no trip with position files under {path}")
     trip = F.regexp_extract(F.url_decode("file"), r"([^/]+)/[^/]*$", 1)
     rows = lambda files, names: read_columns_text(spark, files, names).withColumn("trip_id", trip).withColumn("n", F.expr("row_number() over (partition by trip_id order by row_no) - 1"))
     a = rows(acc, UAH_ACC)
@@ -146,8 +159,8 @@ def load_uah(spark: SparkSession, path: str, freq_hz: int = 10, start: str = "20
     a = a.select("trip_id", "n", F.timestamp_micros(t0 + F.floor(F.col("n") * 1e6 / freq_hz).cast("long")).alias("ts"), *[U.g_to_mps2(F.col(f"a{c}_g")).alias(f"a{c}_mps2") for c in "xyz"], *[f32(U.deg_to_rad(F.col(f"{r}_deg"))).alias(f"x_uah_{r}_rad") for r in ("roll", "pitch")])
     gps = [p.with_name("RAW_GPS.txt") for p in acc if p.with_name("RAW_GPS.txt").exists()]
     g = rows(gps, UAH_GPS).select(F.col("trip_id").alias("_t"), F.col("n").alias("k"), "lat", "lon", f32(U.kmh_to_mps(F.col("speed_kmh"))).alias("speed_mps"), f32(F.col("course")).alias("heading_deg"), f32(F.col("altitude")).alias("altitude_gps_m"))
-    out = a.join(g.withColumn("_at", F.col("k") * freq_hz), (F.col("trip_id") == F.col("_t")) & (F.col("n") == F.col("_at")), "left")
-    return out.drop("_t", "_at", "k", "n").withColumn("device_id", F.lit("uah_phone"))
+    out = positional_join(a, g.withColumnRenamed("_t", "trip_id"), "n", "k", freq_hz, by=["trip_id"])
+    return out.drop("k", "n").withColumn("device_id", F.lit("uah_phone"))
 
 
 #: Names of a simulator's columns, and those of its ground truth, which become extras.

@@ -1,4 +1,4 @@
-"""Command line: validate, info, convert, export, check-tables, to-parquet, completeness, verify, query.
+"""Command line: validate, info, convert, adapt, export, check-tables, to-parquet, completeness, verify, query.
 
 Exit codes: 0 valid, 1 invalid, 2 nothing to read, 3 wrong use, 4 unexpected failure.
 """
@@ -11,15 +11,52 @@ import sys
 from pathlib import Path
 
 from roadgrain import manifest as M
-from roadgrain.validate import EXIT_INTERNAL, EXIT_INVALID, EXIT_MISSING, EXIT_OK, EXIT_USAGE, LEVELS, validate, validate_tables
+from roadgrain.operators.position import ORDER
+from roadgrain.validate import EXIT_INTERNAL, EXIT_INVALID, EXIT_MISSING, EXIT_OK, EXIT_USAGE, LEVELS, order_violations, validate, validate_tables
 
 
 def _say(a, data: dict) -> None:
     print(json.dumps(data, default=str, indent=None if a.json else 2))
 
 
+def _report(a, r) -> None:
+    d = r.as_dict()
+    if a.fail_fast and not r.ok:
+        d = {"status": "fail", "error": r.errors[0]}
+    elif not a.verbose:
+        d.pop("findings")
+    _say(a, d)
+
+
 def _validate(a, spark) -> int:
-    p = Path(a.path)
+    where = next((x for x in (a.path, a.dataset, a.record) if x), None)
+    if a.all:
+        got = [_validate(argparse.Namespace(**(vars(a) | {"all": False, "path": str(f), "dataset": None})), spark) for f in sorted({*Path(where or ".").rglob("manifest.yaml"), *Path(where or ".").rglob("dataset.yaml")})]
+        return max(got, default=EXIT_MISSING)
+    if a.adapter:
+        from roadgrain.adapters import load
+
+        r = validate(load(a.adapter, spark(), where), a.level if a.level in ("basic", "strict") else "strict", a.profile)
+        _report(a, r)
+        return EXIT_OK if r.ok else EXIT_INVALID
+    if a.schema:
+        from roadgrain.sources.readers import read
+        from roadgrain.validate import validate_schema
+
+        bad = validate_schema(read(spark(), where), a.schema)
+        _say(a, {"status": "fail" if bad else "pass", "errors": bad[:1] if a.fail_fast else bad})
+        return EXIT_INVALID if bad else EXIT_OK
+    if where is None:
+        return EXIT_USAGE
+    if Path(where).suffix in (".json", ".jsonl"):
+        from roadgrain.sources.readers import read_jsonl
+        from roadgrain.validate import validate_nested
+
+        row = validate_nested(read_jsonl(spark(), where)).first().asDict()
+        bad = {k: v for k, v in row.items() if k != "n_rows" and v}
+        _say(a, {"status": "fail" if bad else "pass", "records_checked": row["n_rows"], "findings": bad})
+        return EXIT_INVALID if bad else EXIT_OK
+    p = Path(where)
     if p.is_dir():
         p = next((p / n for n in ("manifest.yaml", "dataset.yaml") if (p / n).exists()), p / "manifest.yaml")
     if not p.exists():
@@ -28,8 +65,12 @@ def _validate(a, spark) -> int:
     if p.suffix == ".parquet":
         from roadgrain.sources.readers import read
 
-        r = validate(read(spark(), p), a.level if a.level in ("basic", "strict") else "strict", a.profile)
-        _say(a, r.as_dict())
+        level = a.level if a.level in ("basic", "strict") else "strict"
+        df = read(spark(), p, position=True)
+        r = validate(df.drop(*ORDER), level, a.profile)
+        if "ts" in df.columns and (n := order_violations(df, "ts", ORDER, ["trip_id"] if "trip_id" in df.columns else [], level == "strict")):
+            r.errors.append(f"ts_order: {n} rows")
+        _report(a, r)
         return EXIT_OK if r.ok else EXIT_INVALID
     if a.manifest_only:
         m, data, cross = M.validate_manifest(p), None, None
@@ -37,6 +78,9 @@ def _validate(a, spark) -> int:
         m, data, cross = M.validate_dataset(spark(), p, a.level)
     ok = m.ok and (data is None or data.ok)
     out = {"status": "pass" if ok else "fail", "manifest": {"ok": m.ok, "errors": m.errors, "warnings": m.warnings}}
+    if a.fail_fast and not ok:
+        _say(a, {"status": "fail", "error": (m.errors or data.errors)[0]})
+        return EXIT_INVALID
     _say(a, out | ({"data": data.as_dict()} if data else {}) | ({"cross_check": cross} if cross else {}))
     return EXIT_OK if ok else EXIT_INVALID
 
@@ -60,7 +104,7 @@ def _convert(a, spark) -> int:
     out = Path(a.out)
     target = out / f"{a.adapter}.parquet"
     if a.per_trip:
-        write_trips(df, target, out / "trips.json")
+        write_trips(df, target, out / "trips")
     else:
         write_zstd(df, target)
     got = read_parquet(spark(), target)
@@ -70,6 +114,26 @@ def _convert(a, spark) -> int:
     return EXIT_OK if r.ok else EXIT_INVALID
 
 
+def _adapt(a, spark) -> int:
+    """Raw files to one folder per trip and counts per sensor, with joins inside trips."""
+    from roadgrain.adapters import load
+    from roadgrain.sources.sinks import write_trips
+
+    options = {
+        "aegis": {"top_n_trips": None, "by_trip": True, "tolerances_ms": {"gyro": a.gyro_ms, "gps": a.gps_ms}, "least_rows": a.least_rows, "with_obd": False},
+        "pvs": {"labels": True, "sparse": True, "placement": a.placement, "side": a.side},
+    }.get(a.adapter, {})
+    df = load(a.adapter, spark(), a.path, **options)
+    if a.adapter == "aegis":  # this form leaves the speed to a later step
+        from pyspark.sql import functions as F
+
+        df = df.withColumn("speed_mps", F.lit(None).cast("float"))
+    out = Path(a.out)
+    n = write_trips(df, out / f"{a.adapter}.parquet", out / "trips").count()
+    _say(a, {"adapter": a.adapter, "trips": n, "out": str(out)})
+    return EXIT_OK if n else EXIT_MISSING
+
+
 def _export(a, spark) -> int:
     from roadgrain.sources.sinks import export_tables
 
@@ -139,7 +203,12 @@ def parser() -> argparse.ArgumentParser:
         s.set_defaults(run=f)
         return s
 
-    s = add("validate", _validate, "path")
+    s = add("validate", _validate)
+    s.add_argument("path", nargs="?")
+    for x in ("--dataset", "--record", "--schema", "--adapter"):
+        s.add_argument(x)
+    for x in ("--all", "--fail-fast", "--verbose"):
+        s.add_argument(x, action="store_true")
     s.add_argument("--level", choices=LEVELS, default="basic")
     s.add_argument("--profile")
     s.add_argument("--manifest-only", action="store_true")
@@ -147,6 +216,13 @@ def parser() -> argparse.ArgumentParser:
     s = add("convert", _convert, "adapter", "path")
     s.add_argument("-o", "--out", required=True)
     s.add_argument("--per-trip", action="store_true")
+    s = add("adapt", _adapt, "adapter", "path")
+    s.add_argument("-o", "--out", required=True)
+    s.add_argument("--gyro-ms", type=int, default=50)
+    s.add_argument("--gps-ms", type=int, default=600)
+    s.add_argument("--least-rows", type=int, default=10)
+    s.add_argument("--placement", default="dashboard")
+    s.add_argument("--side", default="left")
     s = add("export", _export, "trajectory", "imu")
     s.add_argument("--events")
     s.add_argument("--dataset-id", default="export")

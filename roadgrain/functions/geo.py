@@ -13,16 +13,21 @@ def _h(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
 
 
+def _most_one(h: Column) -> Column:
+    """Clamped to 1 where rounding passes it; null stays null (``least`` would skip it and give half a great circle)."""
+    return F.when(h > 1, F.lit(1.0)).otherwise(h)
+
+
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     """Metres, R = 6,371,000, atan2 form; null where an argument is."""
-    h = F.least(_h(*(F.col(c) if isinstance(c, str) else c for c in (lat1, lon1, lat2, lon2))), F.lit(1.0))
+    h = _most_one(_h(*(F.col(c) if isinstance(c, str) else c for c in (lat1, lon1, lat2, lon2))))
     return 2 * R_M * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     """Kilometres, R = 6371.0088, asin form, the argument clamped to 1."""
     h = _h(*(F.col(c) if isinstance(c, str) else c for c in (lat1, lon1, lat2, lon2)))
-    return 2 * R_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * R_KM * F.asin(F.sqrt(_most_one(h)))
 
 
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:

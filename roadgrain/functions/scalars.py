@@ -137,7 +137,7 @@ def flatten_structs(df: DataFrame) -> DataFrame:
 
 #: SQL bodies of the functions offered to SQL users.
 SQL_FUNCTIONS = {
-    "haversine_m": "(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE RETURN 2 * 6371000 * atan2(sqrt(least(1, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))), sqrt(greatest(0, 1 - (pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))))",
+    "haversine_m": "(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE RETURN 2 * 6371000 * atan2(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)), sqrt(abs(1 - (pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))))",
     "nmea_to_degrees": "(v DOUBLE) RETURNS DOUBLE RETURN cast(v / 100 AS INT) + (v - 100 * cast(v / 100 AS INT)) / 60",
     "g_to_mps2": "(v DOUBLE) RETURNS FLOAT RETURN cast(v * 9.80665D AS FLOAT)",
     "kmh_to_mps": "(v DOUBLE) RETURNS DOUBLE RETURN v / 3.6D",

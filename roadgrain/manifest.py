@@ -68,6 +68,9 @@ def check(m: dict, compat: bool = True) -> ManifestReport:
     periods = m.get("acc_periods") or []
     spans = []
     for i, p in enumerate(periods):
+        for k in ("start", "end", "frame"):  # an open end is written as present
+            if p.get(k) is None:
+                soft.append(f"acc_periods[{i}] has no {k}")
         one_of(f"acc_periods[{i}].frame", p.get("frame"), FRAMES)
         if p.get("frame") == "partial" and p.get("residual_g") is None:
             r.errors.append(f"acc_periods[{i}] is partial but has no residual_g")
@@ -165,8 +168,9 @@ def has_declared_gyro(m: dict) -> bool:
     return any("gyro" in s for s in declared_sensors(m))
 
 
-def acc_periods(m: dict) -> list[tuple]:
-    return [(p.get("start"), p.get("end"), p.get("frame", "raw")) for p in m.get("acc_periods") or []]
+def acc_periods(m: dict, residual: bool = False) -> list[tuple]:
+    """(start, end, frame) of each period, with its residual_g on demand."""
+    return [(p.get("start"), p.get("end"), p.get("frame", "raw"), *([p.get("residual_g")] if residual else [])) for p in m.get("acc_periods") or []]
 
 
 def acc_frame(m: dict, ts):
@@ -202,11 +206,35 @@ def inherit(df: DataFrame, m: dict) -> DataFrame:
     return df.withColumns(out)
 
 
+#: What a manifest calls the sensors whose groups a frame can be asked for.
+SENSOR_GROUPS = {"gps": "gps", "gnss": "gps", "accelerometer": "imu", "accel": "imu", "imu": "imu", "gyroscope": "gyro", "gyro": "gyro", "magnetometer": "magneto", "magneto": "magneto", "obd": "obd", "io": "io"}
+
+
+def declared_rows(m: dict) -> int | None:
+    """Rows that the manifest declares: ``records``, or the volume's messages or rows."""
+    v = m.get("volume") or {}
+    return next((int(x) for x in (m.get("records"), v.get("n_messages"), v.get("rows"), v.get("n_rows")) if isinstance(x, (int, float))), None)
+
+
 def disagreements(df: DataFrame, m: dict) -> DataFrame:
-    """One row: rows whose own device or trip is not one the manifest names (the row wins, this is a warning)."""
-    dev, trips = devices(m), trip_names(m)
+    """One row: rows whose own device or trip is not one the manifest names (the row wins, this is a warning), the rows
+    there are and are declared, and per declared sensor whether the frame has it (null where nothing is declared)."""
+    from roadgrain.operators.introspect import presence_exprs
+
+    dev, trips, sensors = devices(m), trip_names(m), {SENSOR_GROUPS.get(s.lower()) for s in declared_sensors(m)} - {None}
     f = lambda c, names: F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(names)) if names and c in df.columns else F.lit(0)
-    return df.agg(F.count("*").alias("n_rows"), f("device_id", dev).alias("other_device"), f("trip_id", trips).alias("other_trip"))
+    have = [(e if g in sensors else F.when(F.lit(not sensors), F.lit(None)).otherwise(~e)).alias(f"sensor_{g}_as_declared") for g, e in presence_exprs(df.columns).items()]
+    n = declared_rows(m)
+    return df.agg(F.count("*").alias("n_rows"), F.lit(n).cast("long").alias("declared_rows"), f("device_id", dev).alias("other_device"), f("trip_id", trips).alias("other_trip"), *have)
+
+
+def device_rule(columns: list[str], m: dict, files: list[str]) -> list[str]:
+    """With several devices the rows must tell theirs, or the files' names must begin with it."""
+    dev = devices(m)
+    if len(dev) < 2 or "device_id" in columns:
+        return []
+    odd = [f for f in files if not any(Path(f).name.startswith(f"{d}_") for d in dev)]
+    return [f"{len(dev)} devices, but neither a device_id column nor <device>_ file names: {odd}"] if odd else []
 
 
 def carrier_states(spark: SparkSession, m: dict) -> DataFrame:
@@ -251,8 +279,9 @@ def validate_dataset(spark: SparkSession, path: str | Path, level: str = "basic"
 
     What can't be read is an error of the manifest report, never an exception.
     """
-    from roadgrain.sources.readers import read
-    from roadgrain.validate import validate
+    from roadgrain.operators.position import ORDER
+    from roadgrain.sources.readers import manifest_files, read
+    from roadgrain.validate import order_violations, validate
 
     p = Path(path)
     if p.is_dir():
@@ -262,10 +291,26 @@ def validate_dataset(spark: SparkSession, path: str | Path, level: str = "basic"
         return m, None, None
     meta = load_yaml(p)
     try:
-        df = read(spark, p)
+        files = [str(f) for f, _ in manifest_files(p)]
+        df = read(spark, p, position=True)
     except (FileNotFoundError, ValueError) as e:
         m.errors.append(str(e))
         return m, None, None
+    m.errors += device_rule(df.columns, meta, files)
     inherited = {c for c, names in (("device_id", devices(meta)), ("trip_id", trip_names(meta))) if len(names) == 1}
-    data = validate(df, level, meta.get("profile"), inherited=inherited)
-    return m, data, disagreements(df, meta).first().asDict() if level == "full" else None
+    by = ["trip_id"] if "trip_id" in df.columns else []
+    plain = df.drop(*ORDER)
+    # The order rule needs the rows' places, the others must not see them as columns.
+    data = validate(plain, level, meta.get("profile"), inherited=inherited, by=by, periods=acc_periods(meta, True) if level in ("strict", "full") else None)
+    if "ts" in df.columns:
+        n = order_violations(df, "ts", ORDER, by, strict=level in ("strict", "full"))
+        data.counts["ts_order"] = n
+        if n:
+            data.errors.append(f"ts_order: {n} rows")
+    cross = None
+    if level == "full":
+        cross = disagreements(plain, meta).first().asDict()
+        if cross["declared_rows"] is not None and cross["declared_rows"] != cross["n_rows"]:
+            data.errors.append(f"{cross['n_rows']} rows, but {cross['declared_rows']} are declared")
+        data.errors += [f"{k.split('_')[1]} is not as declared" for k, v in cross.items() if k.startswith("sensor_") and v is False]
+    return m, data, cross

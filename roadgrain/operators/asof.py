@@ -6,7 +6,8 @@ through window functions, so the cost is one shuffle by the keys and one sort. S
 the first the forward candidate; left rows are kept; a tolerance is inclusive; null times match nothing.
 
 Skew: with ``bucket_us`` the partition is (keys, time bucket) and each bucket gets the nearest right rows of the buckets
-around it as carries, so neither a hot key nor a join without keys lies in one task; results are the same.
+around it as carries, so neither a hot key nor a join without keys lies in one task; results are the same. A join without
+keys is always bucketed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Time (in the unit of the clock column) that a bucket of a join without keys spans.
+BUCKET = 600_000_000
+
 
 def asof_join(
     left: DataFrame, right: DataFrame, on: str = "ts", by: list[str] | None = None, tolerance_us: int | None = None, direction: str = "nearest",
@@ -25,6 +29,7 @@ def asof_join(
     if direction not in ("nearest", "backward", "forward"):
         raise ValueError(f"no direction {direction!r}")
     by = by or []
+    bucket_us = bucket_us or (None if by else BUCKET)
     us = F.unix_micros(on) if dict(left.dtypes)[on].startswith("timestamp") else F.col(on)
     rus = F.unix_micros(on) if dict(right.dtypes)[on].startswith("timestamp") else F.col(on)
     ord_ = F.col(order).cast("long") if order else F.lit(0).cast("long")
@@ -49,7 +54,7 @@ def asof_join(
             cond = cond & F.col(f"x.{c}").eqNullSafe(F.col(f"e.{c}"))
         both = both.alias("x").join(edges.alias("e"), cond, "left").select("x.*", "e._before", "e._after")
         keys = [*by, "_b"]
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    part = Window.partitionBy(*keys)
     back = part.orderBy(F.asc("_us"), F.asc("_side"), F.asc("_ord")).rowsBetween(Window.unboundedPreceding, 0)
     # Seen from the end of time: rights at the left's instant come before it, the first duplicate last.
     fwd = part.orderBy(F.desc("_us"), F.asc("_side"), F.desc("_ord")).rowsBetween(Window.unboundedPreceding, 0)
@@ -109,10 +114,12 @@ def step_value(df: DataFrame, changes: DataFrame, on: str = "ts", by: list[str]
     return asof_join(df, changes, on, by, direction="backward").drop("delta_us")
 
 
-def positional_join(left: DataFrame, right: DataFrame, left_pos: str, right_pos: str, factor: int = 1, how: str = "left") -> DataFrame:
-    """Row ``k * factor`` of the left meets row k of the right, by explicit row numbers."""
-    r = right.withColumn("_at", F.col(right_pos) * factor).drop(*[c for c in right.columns if c in left.columns and c != right_pos])
-    return left.join(r.drop(right_pos) if right_pos in left.columns else r, F.col(left_pos) == F.col("_at"), how).drop("_at")
+def positional_join(left: DataFrame, right: DataFrame, left_pos: str, right_pos: str, factor: int = 1, how: str = "left", by: list[str] | None = None) -> DataFrame:
+    """Row ``k * factor`` of the left meets row k of the right, by explicit row numbers (inside ``by``)."""
+    by = by or []
+    r = right.withColumn("_at", F.col(right_pos) * factor).drop(*[c for c in right.columns if c in left.columns and c not in by]).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    cond = reduce(lambda a, b: a & b, [F.col(left_pos) == F.col("_at"), *[F.col(c) == F.col(f"_by_{c}") for c in by]])
+    return left.join(r, cond, how).drop("_at", *[f"_by_{c}" for c in by])
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default, valid: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,22 @@ def event_table(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.unionByName(still.select(*by, F.col("start_ts").alias("ts"), F.lit("STOP").alias("event_type")))
 
 
-def add_noise(df: DataFrame, col: str, sigma: float, seed: int, bias_per_s: float = 0.0, quantum: float = 0.0, delay: int = 0, by: list[str] | None = None, ts: str = "ts", out: str | None = None) -> DataFrame:
-    """Gaussian noise, drift since the key's first row, rounding to a quantum and a delay in rows; seeded."""
+def gaussian(key: list[str], seed: int):
+    """A standard normal number of a row's key, by Box and Muller from two digests."""
+
+    def uniform(n: int):
+        h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key], F.lit(f"{seed}.{n}")), 256)
+        return (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
+
+
+def add_noise(df: DataFrame, col: str, sigma: float, seed: int, bias_per_s: float = 0.0, quantum: float = 0.0, delay: int = 0, by: list[str] | None = None, ts: str = "ts", out: str | None = None, key: list[str] | None = None) -> DataFrame:
+    """Gaussian noise, drift since the key's first row, rounding to a quantum and a delay in rows.
+
+    The noise of a row is drawn from a hash of its ``key`` (keys and time by default) and the seed, so it is the same
+    however the rows are partitioned.
+    """
     c = F.col(col).cast("double")
     w = Window.partitionBy(*(by or [])).orderBy(ts) if by else None
     if delay:
@@ -50,7 +66,7 @@ def add_noise(df: DataFrame, col: str, sigma: float, seed: int, bias_per_s: floa
         if w is None:
             raise ValueError("a drift needs keys")
         c = c + bias_per_s * (F.unix_micros(ts) - F.unix_micros(F.min(ts).over(Window.partitionBy(*by)))) / 1e6
-    c = c + F.randn(seed) * sigma
+    c = c + gaussian([*(by or []), ts] if key is None else key, seed) * sigma
     if quantum:
         c = F.bround(c / quantum) * quantum
     return df.withColumn(out or col, c)

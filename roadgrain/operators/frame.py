@@ -7,17 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The names under which sources write a sample's columns, first found wins.
+#: The other names under which sources write a sample's columns; the target itself comes first.
 ALIASES = {
-    "timestamp": ["timestamp", "ts", "time", "datetime", "timestamp_ms"],
-    "lat": ["lat", "latitude", "gps_lat"],
-    "lon": ["lon", "lng", "longitude", "gps_lon"],
-    "speed": ["speed", "speed_mps", "v_mps"],
-    "acc_x": ["acc_x", "ax", "accel_x", "ax_mps2"],
-    "acc_y": ["acc_y", "ay", "accel_y", "ay_mps2"],
-    "acc_z": ["acc_z", "az", "accel_z", "az_mps2"],
-    "altitude_m": ["altitude_m", "alt", "altitude", "altitude_gps_m"],
+    "timestamp": ["time", "ts", "datetime", "time_iso", "time_ms", "timestamp_ms"],
+    "speed": ["speed", "speed_mps", "v_mps", "speed_ms", "speed_m_s", "v"],
+    "acc_x": ["ax", "accx", "accel_x", "acc_x_mps2", "imu_ax", "ax_mps2"],
+    "acc_y": ["ay", "accy", "accel_y", "acc_y_mps2", "imu_ay", "ay_mps2"],
+    "acc_z": ["az", "accz", "accel_z", "acc_z_mps2", "imu_az", "az_mps2"],
+    "gyro_x": ["gx", "gyrox", "gyro_x_rad_s", "imu_gx", "gx_rad_s"],
+    "gyro_y": ["gy", "gyroy", "gyro_y_rad_s", "imu_gy", "gy_rad_s"],
+    "gyro_z": ["gz", "gyroz", "gyro_z_rad_s", "imu_gz", "gz_rad_s"],
 }
+#: The names whose times are epoch milliseconds.
+MILLIS = ["time_ms", "timestamp_ms"]
 
 
 def select(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -40,22 +42,24 @@ def with_values(df: DataFrame, name: str, values: DataFrame, position: str, valu
 
 
 def resolve_aliases(df: DataFrame, overrides: dict[str, str | list[str]] | None = None, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """Target columns from the first source name present; a dataset's own list replaces the default one.
+    """Target columns that are absent, from the first source name present; a dataset's own list replaces the default one.
 
-    A source named ``*_ms`` for a timestamp is read as epoch milliseconds. Absent targets are left out.
+    A time of a name in MILLIS is epoch milliseconds; others come as instants. Targets without a source are left out.
     """
     table = dict(aliases or ALIASES) | {k: [v] if isinstance(v, str) else list(v) for k, v in (overrides or {}).items()}
     out = {}
     for target, names in table.items():
-        src = next((n for n in names if n in df.columns), None)
+        src = next((n for n in [target, *names] if n in df.columns), None)
         if src is None:
             continue
         c = F.col(f"`{src}`")
         if target == "timestamp":
             kind = dict(df.dtypes)[src]
-            c = F.timestamp_millis(c.cast("long")) if src.endswith("_ms") else F.try_to_timestamp(c) if kind == "string" else c.cast("timestamp")
+            c = F.timestamp_millis(c.try_cast("double").cast("long")) if src in MILLIS else F.try_to_timestamp(c) if kind == "string" else c.cast("timestamp")
+        elif src == target:
+            continue
         out[target] = c
-    return df.withColumns(out)
+    return df.withColumns(out) if out else df
 
 
 def map_provider(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from roadgrain.functions.geo import bearing_deg, curvature, haversine_m
+from roadgrain.operators.position import before
 
 
 def _w(by: list[str], order: list[str]) -> WindowSpec:
@@ -24,14 +25,18 @@ def dt_seconds(df: DataFrame, by: list[str], ts: str = "ts", order: list[str] |
 def speed_from_positions(df: DataFrame, by: list[str], ts: str = "ts", order: list[str] | None = None, cap: float | None = None, out: str = "speed_from_pos") -> DataFrame:
     """Great-circle speed from the row before; a zero interval gives null (the pandas form gives inf).
 
-    With ``cap`` the result is clipped to 0..cap and cast to float, as the CSV adapters want it.
+    Without keys the row before is the one of the whole frame. With ``cap`` the result is clipped to 0..cap and cast to float, as the CSV adapters want it.
     """
-    w = _w(by, order or [ts])
-    d = haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    v = F.try_divide(d, seconds_between(F.lag(ts).over(w), F.col(ts)))
+    if by:
+        w = _w(by, order or [ts])
+        lat, lon, t, x = F.lag("lat").over(w), F.lag("lon").over(w), F.lag(ts).over(w), df
+    else:  # over the whole frame, in blocks of time
+        x = before(df.withColumn("_us", F.unix_micros(ts)), ["lat", "lon", ts], ["_us"], block=600_000_000)
+        lat, lon, t = (F.col("_prev")[c] for c in ("lat", "lon", ts))
+    v = F.try_divide(haversine_m(lat, lon, F.col("lat"), F.col("lon")), seconds_between(t, F.col(ts)))
     if cap is not None:
         v = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(cap))).cast("float")
-    return df.withColumn(out, v)
+    return x.withColumn(out, v).drop("_us", "_prev")
 
 
 def changed(df: DataFrame, col: str, by: list[str], order: list[str], out: str = "changed") -> DataFrame:

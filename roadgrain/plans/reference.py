@@ -61,8 +61,8 @@ NORM = "sqrt(ax*ax + ay*ay + az*az)"
 
 
 def hav(a: str, b: str, c: str, d: str, radius: float = 6371000.0) -> str:
-    h = f"least(1, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))"
-    return f"2 * {radius} * asin(sqrt({h}))"
+    h = f"(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))"
+    return f"2 * {radius} * atan2(sqrt({h}), sqrt(abs(1 - {h})))"
 
 
 # Scans and projections.

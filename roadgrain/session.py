@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +31,24 @@ def get_session(app: str = "roadgrain", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def scratch(spark: SparkSession) -> Path:
+    """A new folder for written tables, below the shared folder that the session names in spark.checkpoint.dir.
+
+    Only where that is unset and the master is local (tests) a temporary folder is made.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        return Path(tempfile.mkdtemp(prefix="roadgrain-"))
+    folder = Path(shared.removeprefix("file://").removeprefix("file:")) / f"roadgrain-{uuid.uuid4().hex}"
+    folder.mkdir(parents=True)
+    return folder
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's code to the executors' Python workers, once per application."""
     import zipfile
-    from pathlib import Path
 
     sc = spark.sparkContext
     if getattr(sc, "_roadgrain_shipped", False):

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from roadgrain.functions.scalars import epoch_to_ts, flatten_structs, nan_to_null
 from roadgrain.manifest import check, load_yaml
 from roadgrain.operators.frame import union_frames
+from roadgrain.operators.position import positioned
 
 
 def utc_ts(df: DataFrame, col: str = "ts", keep_ns: bool = False) -> DataFrame:
@@ -87,16 +88,20 @@ def manifest_files(path: str | Path) -> list[tuple[Path, str]]:
     return found
 
 
-def read(spark: SparkSession, path: str | Path) -> DataFrame:
-    """A manifest's data or a Parquet file, by suffix."""
+def read(spark: SparkSession, path: str | Path, position: bool = False) -> DataFrame:
+    """A manifest's data or a Parquet file, by suffix; with ``position`` the rows' places in the files as well."""
     p = Path(path)
     if p.suffix in (".yaml", ".yml"):
-        return union_frames([read_parquet(spark, f) for f, _ in manifest_files(p)])
+        return union_frames([_placed(spark, f, n, position) for n, (f, _) in enumerate(manifest_files(p))])
     if p.suffix == ".parquet":
-        return read_parquet(spark, p)
+        return _placed(spark, p, 0, position)
     raise ValueError(f"can't read {p.suffix or 'a path without suffix'}")
 
 
+def _placed(spark: SparkSession, path: Path, n: int, position: bool) -> DataFrame:
+    return nan_to_null(utc_ts(positioned(spark.read.parquet(str(path)), n))) if position else read_parquet(spark, path)
+
+
 class Dataset:
     """A checked manifest with its tables, each read lazily and pruned to the columns asked for."""
 
@@ -132,6 +137,13 @@ class Dataset:
     def read(self, spark: SparkSession, name: str, columns: list[str] | None = None) -> DataFrame:
         return read_parquet(spark, self.table_path(name), columns, ts="timestamp")
 
+    def validate_all(self, spark: SparkSession, schemas: dict[str, str] | None = None, **kw) -> dict[str, list[str]]:
+        """Action: problems of each table against the schema of its name (``schemas`` names others)."""
+        from roadgrain.validate import validate_schema
+
+        names = {"imu": "imu_legacy"} | (schemas or {})
+        return {n: validate_schema(self.read(spark, n), names.get(n, n), **kw) for n in self.tables}
+
     def summary(self, spark: SparkSession) -> dict[str, dict]:
         """Action: per table rows, columns and time span; an unreadable one has an empty entry."""
         out = {}
@@ -149,7 +161,8 @@ class Dataset:
         """Text of the id and per table rows and columns, from Parquet footers only."""
         import pyarrow.parquet as pq
 
-        lines = [f"dataset {self.meta.get('dataset_id')}"]
+        hz = self.meta.get("frequency_hz")
+        lines = [f"dataset {self.meta.get('dataset_id')}" + (f", {hz} Hz" if hz else "")]
         for name, p in self.tables.items():
             try:
                 files = [p] if p.is_file() else sorted(p.glob("*.parquet"))
@@ -197,6 +210,17 @@ class RecordSet:
     def __init__(self, df: DataFrame, schema: T.StructType | None = None):
         self.df, self.schema = df, schema
 
+    @classmethod
+    def load(cls, spark, path):
+        """By suffix: JSON lines, Parquet, or a manifest's data."""
+        kind = Path(path).suffix
+        return cls.from_jsonl(spark, path) if kind in (".jsonl", ".json") else cls.from_parquet(spark, path) if kind == ".parquet" else cls.from_dataset(spark, path)
+
+    @classmethod
+    def from_dataset(cls, spark, path):
+        p = Path(path)
+        return cls(read(spark, p if p.suffix in (".yaml", ".yml") else Dataset.from_path(p).path))
+
     @classmethod
     def from_jsonl(cls, spark, path):
         return cls(read_jsonl(spark, path))

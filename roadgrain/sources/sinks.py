@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from pathlib import Path
 
 import yaml
@@ -30,16 +29,19 @@ def write_jsonl(df: DataFrame, path: str | Path, mode: str = "overwrite") -> Non
     df.write.mode(mode).json(str(path))
 
 
-def write_trips(df: DataFrame, path: str | Path, manifest: str | Path | None = None) -> list[dict]:
-    """Action: one folder per trip, rows of a trip together, and a JSON manifest with counts per sensor."""
+def write_trips(df: DataFrame, path: str | Path, manifest: str | Path | None = None) -> DataFrame:
+    """Action: one folder per trip, rows of a trip together, and counts per sensor as JSON lines (``manifest``, a folder).
+
+    Returns the counts lazily: one row per trip, which nothing collects.
+    """
     from roadgrain.operators.aggregates import sensor_counts
 
     have = df.withColumns({c: F.lit(None).cast("double") for c in ("lat", "ax_mps2", "gx_rad_s", "speed_obd_mps") if c not in df.columns})
     write_zstd(df.repartition("trip_id"), path, partition_by=["trip_id"])
-    rows = [r.asDict() for r in sensor_counts(have, ["trip_id"]).orderBy("trip_id").toLocalIterator()]
+    counts = sensor_counts(have, ["trip_id"])
     if manifest:
-        Path(manifest).write_text(json.dumps({"trips": rows}, indent=2))
-    return rows
+        write_jsonl(counts, manifest)
+    return counts
 
 
 def export_tables(spark: SparkSession, trajectory: str, imu: str, out: str | Path, events: str | None = None, dataset_id: str = "export", freq_hz: float | None = None) -> Path:
@@ -60,7 +62,7 @@ def export_tables(spark: SparkSession, trajectory: str, imu: str, out: str | Pat
         frames["events"] = spark.createDataFrame([], S.LEGACY["events"])
     for name, df in frames.items():
         write_zstd(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.LEGACY[name]]), out / f"{name}.parquet")
-    m = {"dataset_id": dataset_id, "frequency_hz": freq_hz, "tables": {n: f"{n}.parquet" for n in frames}}
+    m = {"dataset_id": dataset_id, "frequency_hz": freq_hz, "units": {"speed": "m/s", "acceleration": "m/s^2", "gyro": "rad/s"}, "tables": {n: f"{n}.parquet" for n in frames}}
     (out / "dataset.yaml").write_text(yaml.safe_dump({k: v for k, v in m.items() if v is not None}, sort_keys=False))
     return out / "dataset.yaml"
 

@@ -9,16 +9,20 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadgrain import schema as S
 from roadgrain.errors import AlignmentNotice, FrameError, MeaningError, UnitError
 from roadgrain.functions.scalars import flatten_structs
-from roadgrain.operators.asof import alignment_metrics
+from roadgrain.operators.aggregates import rest_norm
+from roadgrain.operators.asof import alignment_metrics, interval_case
 from roadgrain.operators.introspect import presence_exprs
+from roadgrain.operators.position import ORDER, out_of_order, positioned
+from roadgrain.operators.windows import rest_flag
 
 LEVELS = ("basic", "strict", "manifest", "full")
 EXIT_OK, EXIT_INVALID, EXIT_MISSING, EXIT_USAGE, EXIT_INTERNAL = 0, 1, 2, 3, 4
@@ -101,20 +105,34 @@ def column_rules(df: DataFrame, profile: str, level: str, inherited: set[str] =
 
 def order_violations(df: DataFrame, col: str, order: list[str], by: list[str] | None = None, strict: bool = False) -> int:
     """Action: rows that go back in time (or stand still, if strict) in the given physical order."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    p = F.lag(col).over(w)
-    return df.select((F.col(col) <= p if strict else F.col(col) < p).alias("b")).agg(F.count_if("b")).first()[0]
+    return out_of_order(df, col, order, by, strict).count()
 
 
-def gravity_findings(df: DataFrame, frame: str, residual_g: float | None = None, rest: str = "at_rest") -> Column:
-    """Whether the mean norm at rest is off what its frame promises (an aggregate over rows at rest)."""
-    n = F.avg(F.when(F.col(rest), F.sqrt(F.col("ax_mps2").cast("double") ** 2 + F.col("ay_mps2").cast("double") ** 2 + F.col("az_mps2").cast("double") ** 2)))
-    target, tol = {"raw": (9.81, 1.0), "compensated": (0.0, 1.0), "partial": ((residual_g or 0.0) * 9.80665, 0.05 * 9.80665)}[frame]
-    return F.abs(n - target) > tol
+#: Mean norm that a frame promises at rest and its tolerance (m/s2); partial takes its residual.
+GRAVITY = {"raw": (9.81, 1.0), "compensated": (0.0, 1.0), "partial": (None, 0.05 * 9.80665)}
 
 
-def validate(df: DataFrame, level: str = "basic", profile: str | None = None, order: list[str] | None = None, by: list[str] | None = None, inherited: set[str] = frozenset(), frame: str | None = None, residual_g: float | None = None) -> Report:
-    """Action: one aggregation (and one windowed pass with ``order``); accumulates findings, never raises on data."""
+def gravity_by_period(df: DataFrame, periods: list[tuple], by: list[str], ts: str = "ts") -> DataFrame:
+    """(period, frame, rest_norm, n_rest, off): each period's mean norm at rest against what its frame promises.
+
+    ``periods`` are (start, end, frame, residual_g); rows outside of all belong to period -1 of frame raw. A period
+    without rows at rest has no row.
+    """
+    at = interval_case(F.col(ts), [(p[0], p[1], i) for i, p in enumerate(periods)], -1)
+    x = rest_flag(df, by, ts).withColumn("period", at)
+    g = rest_norm(x, ["period"])
+    facts = [(-1, "raw", None), *((i, p[2] or "raw", p[3] if len(p) > 3 else None) for i, p in enumerate(periods))]
+    pick = lambda f: reduce(lambda c, x: c.when(F.col("period") == x[0], F.lit(f(x))), facts[1:], F.when(F.col("period") == -1, F.lit(f(facts[0]))))
+    target = pick(lambda x: float((x[2] or 0.0) * 9.80665) if x[1] == "partial" else GRAVITY[x[1]][0])
+    off = F.abs(F.col("rest_norm") - target) > pick(lambda x: GRAVITY[x[1]][1])
+    return g.where("rest_norm is not null").select("period", pick(lambda x: x[1]).alias("frame"), "rest_norm", "n_rest", off.alias("off"))
+
+
+def validate(df: DataFrame, level: str = "basic", profile: str | None = None, order: list[str] | None = None, by: list[str] | None = None, inherited: set[str] = frozenset(), frame: str | None = None, residual_g: float | None = None, periods: list[tuple] | None = None) -> Report:
+    """Action: one aggregation (and one windowed pass with ``order``); accumulates findings, never raises on data.
+
+    Gravity is checked per period of ``periods``, or for one ``frame``, at level strict and above.
+    """
     if level not in LEVELS:
         raise ValueError(f"no level {level!r}")
     rules = data_rules(df.columns, level)
@@ -131,13 +149,11 @@ def validate(df: DataFrame, level: str = "basic", profile: str | None = None, or
         rep.counts["ts_order"] = k
         if k:
             rep.errors.append(f"ts_order: {k} rows")
-    if frame and level in ("strict", "full") and profile in ("imu", "full") and "ts" in df.columns and by:
-        from roadgrain.operators.windows import rest_flag
-
-        off = rest_flag(df, by).agg(gravity_findings(df, frame, residual_g).alias("x")).first()["x"]
-        rep.counts["gravity"] = int(bool(off))
-        if off:
-            rep.errors.append(f"gravity: the mean norm at rest doesn't fit frame {frame}")
+    periods = periods if periods is not None else [(None, None, frame, residual_g)] if frame else None
+    if periods is not None and level in ("strict", "full") and profile in ("imu", "full") and {"ts", "speed_mps", "ax_mps2", "ay_mps2", "az_mps2"} <= set(df.columns):
+        bad = [r for r in gravity_by_period(df, periods, by or []).collect() if r["off"]]
+        rep.counts["gravity"] = len(bad)
+        rep.errors += [f"gravity: the mean norm at rest {r['rest_norm']:.3f} doesn't fit frame {r['frame']} of period {r['period']}" for r in bad]
     return rep
 
 
@@ -150,11 +166,15 @@ def rule_counts(df: DataFrame, level: str = "strict", by: list[str] | None = Non
 # Legacy tables: raise on the first failure.
 
 
-def check_units(units: dict[str, str]) -> None:
-    want = {"speed": "m/s", "acceleration": "m/s^2", "gyro": "rad/s"}
-    bad = {k: units.get(k) for k, v in want.items() if k in units and str(units[k]).strip() != v}
+#: The units of the legacy tables.
+UNITS = {"speed": "m/s", "acceleration": "m/s^2", "gyro": "rad/s"}
+
+
+def check_units(units: dict[str, str] | None) -> None:
+    """All three units must be named, and be these."""
+    bad = {k: (units or {}).get(k) for k, v in UNITS.items() if str((units or {}).get(k)).strip() != v}
     if bad:
-        raise UnitError(f"units must be {want}; got {bad}")
+        raise UnitError(f"units must be {UNITS}; got {bad}")
 
 
 def check_increasing(df: DataFrame, col: str = "timestamp_ns", order: list[str] | None = None) -> None:
@@ -166,7 +186,7 @@ def check_increasing(df: DataFrame, col: str = "timestamp_ns", order: list[str]
     if df.where(F.col(col).isNull()).limit(1).count():
         raise MeaningError(f"{col} has nulls")
     if order is None:
-        df, order = df.withColumn("_pos", F.monotonically_increasing_id()), ["_pos"]
+        df, order = positioned(df), ORDER
     if order_violations(df, col, order, strict=True):
         raise MeaningError(f"{col} is not strictly increasing")
 
@@ -177,7 +197,7 @@ def _legacy(df: DataFrame, name: str, order: list[str] | None, finite: dict[str,
     if absent:
         raise FrameError(f"{name}: columns are absent: {absent}")
     use = [f for f in want if f.name in df.columns]
-    pos = df.withColumn("_pos", F.monotonically_increasing_id()) if order is None else df
+    pos = positioned(df) if order is None else df
     cast = pos.withColumns({f.name: F.col(f.name).try_cast(f.dataType.simpleString()) for f in use})
     checks = {f"{f.name} is null or unreadable": F.count_if(F.col(f.name).isNull()) for f in use if not f.nullable}
     for c, (lo, hi) in finite.items():
@@ -192,7 +212,7 @@ def _legacy(df: DataFrame, name: str, order: list[str] | None, finite: dict[str,
     for k in checks:
         if row[k] and not k.startswith("~"):
             raise MeaningError(f"{name}: {k} in {row[k]} rows")
-    check_increasing(cast, "timestamp_ns", order or ["_pos"])
+    check_increasing(cast, "timestamp_ns", order or ORDER)
     return cast.select(*[f.name for f in use], *[c for c in df.columns if c not in {f.name for f in use}]), [f"{name}: {k[1:]} in {row[k]} rows" for k in checks if k.startswith("~") and row[k]]
 
 
@@ -228,7 +248,7 @@ def validate_tables(tables: dict[str, DataFrame], units: dict[str, str] | None =
     """Action: units, each table, then the alignment; (ok, report, coerced tables)."""
     rep, out = {"errors": [], "warnings": []}, {}
     try:
-        check_units(units or {})
+        check_units(units)
         for name, f in (("trajectory", validate_trajectory), ("imu", validate_imu), ("events", validate_events)):
             if name in tables:
                 got = f(tables[name])

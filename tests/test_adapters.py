@@ -46,7 +46,7 @@ def test_pvs(spark, tmp_path):
     df = load("pvs", spark, str(tmp_path), labels=True)
     assert df.count() == 40 and {r.trip_id for r in df.select("trip_id").distinct().collect()} == {"PVS_2", "PVS_10"}
     got = {r.road_surface: r.n for r in df.groupBy("road_surface").agg(F.count("*").alias("n")).collect()}
-    assert got == {"dirt_road": 2, "asphalt_road": 2, "unknown": 36}
+    assert got == {"dirt": 2, "asphalt": 2, "unknown": 36}
     a = df.agg(F.min("speed_mps").alias("a"), F.max("speed_mps").alias("z"), F.first("altitude_gps_m").alias("h"), F.first("n_satellites").alias("s")).first()
     assert (a.a, a.z, a.h, a.s) == (0.0, 50.0, 900.0, 8)
     assert load("pvs", spark, str(tmp_path), trip_idx=1).first().trip_id == "PVS_2"

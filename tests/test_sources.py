@@ -82,7 +82,7 @@ def test_export_and_legacy(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.range(10).select(F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("trip_id"), F.col("id").cast("double").alias("lat"))
     rows = K.write_trips(df, tmp_path / "trips", tmp_path / "trips.json")
-    assert [r["n_records"] for r in rows] == [5, 5] and (tmp_path / "trips/trip_id=t0").exists()
+    assert [r["n_records"] for r in rows.orderBy("trip_id").collect()] == [5, 5] and R.read_jsonl(spark, tmp_path / "trips.json").count() == 2 and (tmp_path / "trips/trip_id=t0").exists()
     K.write_csv(df, tmp_path / "c")
     K.write_jsonl(df, tmp_path / "j")
     assert R.read_csv(spark, tmp_path / "c", "trip_id string, lat double", ts=None).count() == 10 and R.read_jsonl(spark, tmp_path / "j").count() == 10
@@ -137,8 +137,9 @@ def test_samples(spark, tmp_path):
     d = tmp_path / "s"
     d.mkdir()
     (d / "dataset.json").write_text(json.dumps({"column_aliases": {"acc_x": "a_x"}}))
-    (d / "samples.csv").write_text("timestamp,lat,lon,speed,a_x,acc_y,acc_z,event\n" + "".join(f"2025-01-01T00:00:0{i / 10:.1f}00Z,45.{i},5,1.5,0,0,9.8,0\n" for i in range(50)))
+    (d / "samples.csv").write_text("timestamp,lat,lon,v_mps,a_x,acc_y,accel_z,gx,gyroy,gyro_z,event_infra\n" + "".join(f"2025-01-01T00:00:0{i / 10:.1f}00Z,45.{i},5,1.5,0,0,9.8,0,0,0,{i // 49 * 3}\n" for i in range(50)))
     v = verify(spark, d)
+    assert any("event_infra" in w for w in v.warnings) and any("altitude_m" in w for w in v.warnings) and any("altitude_m" in e for e in verify(spark, d, strict=True).errors)
     assert v.errors == [] and abs(v.facts["rate_hz"] - 10) < 1e-6 and v.facts["rows"] == 50
     assert len(verify_all(spark, tmp_path)) == 1 and verify(spark, tmp_path).code == 1
 
@@ -155,3 +156,49 @@ def test_spark_reads_the_reference_shapes(spark, tmp_path):
     (tmp_path / "w.txt").write_text("  0.1 1 0.5 \n0.2  1 0.6 7\n\n")
     got = R.read_columns_text(spark, tmp_path / "w.txt", ["t", "a", "b", "c"]).orderBy("row_no").collect()
     assert [(r.t, r.c) for r in got] == [(0.1, None), (0.2, 7.0)]
+
+
+def test_samples_that_break_rules(spark, tmp_path):
+    d = tmp_path / "s"
+    d.mkdir()
+    (d / "dataset.json").write_text(json.dumps({"records": 7}))
+    head, row = "time_ms,lat,lon,speed,ax,ay,az,gx,gy,gz\n", lambda i, ms: f"{ms},45.{i},5,1,0,0,9.8,0,0,0\n"
+    (d / "samples.csv").write_text(head + "".join(row(i, 1000 * (i if i != 3 else 1)) for i in range(8)))
+    v = verify(spark, d, min_hz=0.1, max_hz=20)
+    assert any("go back" in e for e in v.errors) and any("declared" in e for e in v.errors)
+    (d / "samples.csv").write_text(head + "".join(row(i, 4000 * i) for i in range(8)))
+    whole = verify(spark, d, min_hz=0.1, max_hz=20)
+    # A row every four seconds: step 4 takes rows 0 and 4 only.
+    assert abs(whole.facts["distance_km"] - 0.4 * 111.195) < 0.1
+    (d / "samples.csv").write_text("lat\n1\n")
+    assert verify(spark, d).errors[0].startswith("columns are absent")
+
+
+def test_dataset_order_gravity_and_cross_checks(spark, tmp_path):
+    def make(ts, z=9.81, meta=""):
+        df = spark.createDataFrame([(t, "t", "d") for t in ts], "us long, trip_id string, device_id string").coalesce(1)
+        f = lambda x: F.lit(x).cast("float")
+        df = df.select(F.timestamp_micros("us").alias("ts"), F.lit(45.0).alias("lat"), F.lit(5.0).alias("lon"), f(0.1).alias("speed_mps"), f(0).alias("ax_mps2"), f(0).alias("ay_mps2"), f(z).alias("az_mps2"), "device_id", "trip_id")
+        pq.write_table(df.toArrow(), tmp_path / "a.parquet")
+        (tmp_path / "manifest.yaml").write_text("dataset_id: x\nprofile: imu\nacc_periods: [{start: 1970-01-01T00:00:00Z, end: present, frame: raw}]\n" + meta)
+        return M.validate_dataset(spark, tmp_path, "full")
+
+    assert make(range(10))[1].ok
+    assert make([0, 1, 5, 3, 4])[1].counts["ts_order"] == 1 and main(["validate", str(tmp_path), "--fail-fast"]) == 1
+    assert make(range(10), z=0.1)[1].counts["gravity"] == 1
+    assert any("declared" in e for e in make(range(10), meta="volume: {n_messages: 11}\n")[1].errors)
+    assert any("gyro" in e for e in make(range(10), meta="sensors: {gps: {rate_hz: 1}, accelerometer: {rate_hz: 1}, gyroscope: {rate_hz: 1}}\n")[1].errors)
+    assert make(range(10), meta="hardware: {devices: [{name: a}, {name: b}]}\n")[0].ok  # the rows tell theirs
+    assert M.device_rule(["ts"], {"hardware": {"devices": ["a", "b"]}}, ["a_1.parquet", "c.parquet"]) and not M.device_rule(["ts"], {"hardware": {"devices": ["a", "b"]}}, ["x/a_1.parquet", "b_2.parquet"])
+    assert any("no end" in w for w in M.check({"dataset_id": "x", "acc_periods": [{"start": "2025-01-01", "frame": "raw"}]}).warnings)
+    assert main(["validate", "--record", str(tmp_path / "a.parquet"), "--level", "basic"]) == 0 and main(["validate", "--all", str(tmp_path)]) == 0 and main(["validate"]) == 3
+
+
+def test_validate_all_tables(spark, tmp_path):
+    t = spark.createDataFrame([(1, 45.0, 5.0, 1.0, 2.0)], "timestamp_ns long, lat double, lon double, alt float, speed_mps float")
+    t.write.parquet(str(tmp_path / "trajectory.parquet"))
+    (tmp_path / "dataset.yaml").write_text("dataset_id: x\nfrequency_hz: 10\ntables: {trajectory: trajectory.parquet, events: trajectory.parquet}\n")
+    ds = R.Dataset.from_path(tmp_path)
+    got = ds.validate_all(spark)
+    assert got["trajectory"] == [] and any("event_type" in x for x in got["events"])
+    assert "10 Hz" in ds.describe() and R.RecordSet.load(spark, tmp_path / "trajectory.parquet").df.count() == 1

@@ -90,7 +90,10 @@ def test_legacy_tables(spark):
         validate_events(spark.createDataFrame([(1, None)], "timestamp_ns long, event_type string"))
     with pytest.raises(UnitError):
         check_units({"speed": "km/h"})
-    check_units({"speed": " m/s ", "gyro": "rad/s"})
+    for absent in (None, {}, {"speed": "m/s", "gyro": "rad/s"}):
+        with pytest.raises(UnitError):
+            check_units(absent)
+    check_units({"speed": " m/s ", "acceleration": "m/s^2", "gyro": "rad/s"})
 
 
 def test_alignment_rules(spark):
@@ -103,7 +106,7 @@ def test_alignment_rules(spark):
         check_alignment(a, b.limit(0))
     with warnings.catch_warnings():
         warnings.simplefilter("error")
-        ok, rep, out = validate_tables({"trajectory": a, "imu": a.select("timestamp_ns", *[F.lit(0.0).alias(c) for c in imu(spark).columns[1:]])}, {"speed": "m/s"})
+        ok, rep, out = validate_tables({"trajectory": a, "imu": a.select("timestamp_ns", *[F.lit(0.0).alias(c) for c in imu(spark).columns[1:]])}, {"speed": "m/s", "acceleration": "m/s^2", "gyro": "rad/s"})
     assert ok and rep["alignment"]["pairs"] == 3 and set(out) == {"trajectory", "imu"}
     assert not validate_tables({"trajectory": a}, {"speed": "kn"})[0]
 
@@ -131,3 +134,36 @@ def test_nested(spark):
     assert validate_nested(rows.drop("position")).first()["no_position.lon"] == 3
     one = spark.read.schema(S.NESTED).json(spark.sparkContext.parallelize(['{"timestamp": "t", "vehicle_id": "v", "position": {"lat": 1, "lon": 2}, "context": {"weather": {"temp_c": "7"}}}']))
     assert validate_nested(one).first()["no_timestamp"] == 0
+
+
+def test_order_over_blocks_and_files(spark, tmp_path, monkeypatch):
+    from roadgrain.operators import position as P
+
+    monkeypatch.setattr(P, "BLOCK", 8)
+    monkeypatch.setattr(P.before, "__defaults__", (P.ORDER, None, 8))
+    ts = list(range(100))
+    ts[16], ts[40], ts[41] = 3, 39, 39  # the first row of a block goes back, and two inside one
+    f = P.positioned(spark.createDataFrame([(t,) for t in ts], "t long").coalesce(1))
+    want = [i for i in range(1, 100) if ts[i] < ts[i - 1]]
+    assert sorted(r["_row"] for r in P.out_of_order(f, "t").collect()) == want
+    assert P.out_of_order(f, "t", strict=True).count() == sum(ts[i] <= ts[i - 1] for i in range(1, 100))
+    n = P.numbered(f, "n", block=8).select("_row", "n").collect()
+    assert all(r["_row"] == r.n for r in n)
+    assert "lit(0)" not in P.out_of_order(f, "t")._jdf.queryExecution().toString()
+    # Files in the order of their names, whatever their sizes.
+    for i, part in enumerate((range(5), range(5, 2000), range(2000, 2010))):
+        spark.createDataFrame([(x,) for x in part], "t long").coalesce(1).write.parquet(str(tmp_path / f"d/{i}"))
+    g = P.positioned(spark.read.parquet(*[str(tmp_path / f"d/{i}") for i in range(3)]))
+    assert P.out_of_order(g, "t", strict=True).count() == 0
+
+
+def test_gravity_per_period(spark):
+    rows = [(i, 0.1, 0.0, 0.0, 9.81 if i < 50 else 0.2) for i in range(100)]
+    df = spark.createDataFrame(rows, "s long, speed_mps float, ax_mps2 float, ay_mps2 float, az_mps2 float").selectExpr("timestamp_micros(s * 1000000) ts", "'t' trip_id", "*")
+    from roadgrain.validate import gravity_by_period
+
+    cut = "1970-01-01T00:00:49.5Z"
+    got = {r.period: r.off for r in gravity_by_period(df, [(None, cut, "raw"), (cut, "present", "compensated")], ["trip_id"]).collect()}
+    assert got == {0: False, 1: False}
+    assert {r.period: r.off for r in gravity_by_period(df, [(None, "present", "raw")], ["trip_id"]).collect()} == {0: True}
+    assert {r.period: r.off for r in gravity_by_period(df, [(None, cut, "raw", None), (cut, None, "partial", 0.02)], ["trip_id"]).collect()} == {0: False, 1: False}

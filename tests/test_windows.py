@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadgrain.operators.windows import curvature_rate
 
@@ -18,3 +19,14 @@ def test_curvature_rate(spark):
     assert all(rate[i] == pytest.approx((k[i] - k[i - 1]) / 2) for i in range(2, 39))
     assert abs(k[30]) == pytest.approx(1 / 50, rel=0.02) and rate[10] == pytest.approx(0, abs=1e-6) and rate[30] == pytest.approx(0, abs=1e-6)
     assert abs(sum(rate[18:24]) * 2) == pytest.approx(1 / 50, rel=0.02)
+
+
+def test_no_way_to_a_fix_that_is_not_there(spark):
+    from roadgrain.functions.geo import haversine_km, haversine_m
+    from roadgrain.operators.aggregates import trip_distance
+
+    df = spark.createDataFrame([(0, 1.0), (1, 1.1), (2, 1.2)], "ts long, lat double").selectExpr("timestamp_micros(ts) ts", "'t' trip_id", "lat", "0D lon")
+    assert abs(trip_distance(df, ["trip_id"], ["ts"]).first().distance_km - 22.239) < 0.01
+    n = F.lit(None).cast("double")
+    r = df.select(haversine_m(n, n, F.col("lat"), F.col("lon")).alias("m"), haversine_km(n, n, F.col("lat"), F.col("lon")).alias("k"), haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("half")).first()
+    assert r.m is None and r.k is None and abs(r.half - 20015.1) < 1
