@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadgrain.plans import problems, reference
+from roadgrain.plans import engine, problems, reference  # noqa: F401  engine registers its queries
 from roadgrain.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]

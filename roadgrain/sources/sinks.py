@@ -21,12 +21,16 @@ def write_zstd(df: DataFrame, path: str | Path, **kw) -> None:
     write_parquet(df, path, "zstd", **kw)
 
 
+#: Text of an instant: to the microsecond, which is what the engine keeps.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_csv(df: DataFrame, path: str | Path, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(str(path))
+    df.write.mode(mode).option("header", True).option("timestampFormat", STAMP).csv(str(path))
 
 
 def write_jsonl(df: DataFrame, path: str | Path, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(str(path))
+    df.write.mode(mode).option("timestampFormat", STAMP).json(str(path))
 
 
 def write_trips(df: DataFrame, path: str | Path, manifest: str | Path | None = None) -> DataFrame:
