@@ -18,7 +18,7 @@ from roadgrain import validate as V
 from roadgrain.adapters import load, sources
 from roadgrain.functions import scalars
 from roadgrain.operators import asof, events_layer, frame, position, windows
-from roadgrain.plans.reference import LOC, NORM, ORDER, REC, TRIP, base, fixes, query, r6
+from roadgrain.plans.reference import LOC, NORM, ORDER, REC, TRIP, base, fixes, once, query, r6
 from roadgrain.session import scratch
 from roadgrain.sources import readers, sinks, table
 
@@ -154,7 +154,7 @@ def _located(s, d) -> DataFrame:
 _LOCATED = f"{REC}, q AS (SELECT * FROM r WHERE trip_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND ax IS NOT NULL AND ay IS NOT NULL AND az IS NOT NULL)"
 
 
-@query(f"WITH {_LOCATED} SELECT trip_id, us, round(CAST(CAST(ax * 9.80665 AS FLOAT) AS DOUBLE), 3) AS ax, round(trunc(lat) + (lat - trunc(lat)) * 100 / 60, 5) AS lat FROM q")
+@query(f"WITH {_LOCATED} SELECT trip_id, us, round(CAST(CAST(ax * 9.80665 AS FLOAT) AS DOUBLE), 3) AS ax, round(trunc(lat) + (lat - trunc(lat)) * 100 / 60, 9) AS lat FROM q")
 def adapter_aegis(s, d):
     """All trips, joins inside trips; every reading has its own fix, whose degrees and minutes are the record's digits."""
     f, r = scratch(s), _located(s, d)
@@ -163,7 +163,7 @@ def adapter_aegis(s, d):
     sinks.write_csv(r.select("trip_id", stamp, (F.col("lat") * 100).alias("latitude"), (F.col("lon") * 100).alias("longitude"), F.lit(1.0).alias("altitude")), f / "positions.csv")
     sinks.write_csv(r.select("trip_id", F.lit("b").alias("beaglebone_id")).distinct(), f / "trips.csv")
     a = load("aegis", s, str(f), top_n_trips=None, by_trip=True, tolerances_ms={"gps": 600})
-    return a.select("trip_id", ts_us().alias("us"), r6("ax_mps2", 3).alias("ax"), r6("lat", 5).alias("lat"))
+    return a.select("trip_id", ts_us().alias("us"), r6("ax_mps2", 3).alias("ax"), r6("lat", 9).alias("lat"))
 
 
 @query(f"WITH {_LOCATED} SELECT us, round(ax, 4) AS ax, round(lat, 6) AS lat, 'c_one' AS trip_id FROM q WHERE us IN (SELECT us FROM q GROUP BY us HAVING count(*) = 1)")
@@ -212,7 +212,7 @@ def surface_labels(s, d):
 # Projections and scalars.
 @query(f"WITH {REC} SELECT rec_id, us AS ts_us, round(ax, 5) AS acc_x, round(gz, 5) AS gyro_z, round(speed, 5) AS speed FROM r")
 def alias_defaults(s, d):
-    r = base(s, d, "ax_mps2", "gz_rad_s", "speed_mps").select("rec_id", (ts_us() / 1000.0).alias("ms"), F.col("ts").alias("time_iso"), F.col("ax_mps2").alias("imu_ax"), F.col("gz_rad_s").alias("gyroz"), F.col("speed_mps").alias("speed_m_s"))
+    r = once(s, d, "ax_mps2", "gz_rad_s", "speed_mps").select("rec_id", (ts_us() / 1000.0).alias("ms"), F.col("ts").alias("time_iso"), F.col("ax_mps2").alias("imu_ax"), F.col("gz_rad_s").alias("gyroz"), F.col("speed_mps").alias("speed_m_s"))
     x = frame.resolve_aliases(r.drop("ms"))
     return x.select("rec_id", ts_us("timestamp").alias("ts_us"), r6("acc_x", 5).alias("acc_x"), r6("gyro_z", 5).alias("gyro_z"), r6("speed", 5).alias("speed"))
 
@@ -243,12 +243,12 @@ def first_rows(s, d):
 
 @query(f"WITH {REC} SELECT trip_id, count(*) AS n_rows FROM r GROUP BY 1 ORDER BY n_rows DESC, trip_id LIMIT 1")
 def longest_trip(s, d):
-    return frame.top_keys(base(s, d), "trip_id", 1)
+    return frame.top_keys(once(s, d), "trip_id", 1)
 
 
 @query(f"WITH {REC} SELECT rec_id FROM r WHERE ax IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
 def complete_rows(s, d):
-    return base(s, d, "ax_mps2", "lat", "lon").dropna(subset=["ax_mps2", "lat", "lon"]).select("rec_id")
+    return once(s, d, "ax_mps2", "lat", "lon").dropna(subset=["ax_mps2", "lat", "lon"]).select("rec_id")
 
 
 @query("SELECT event_id, round(CAST(value * 9.80665 AS FLOAT), 2) AS mps2, round(CAST(value * 0.00980665 AS FLOAT), 5) AS from_mg, round(radians(value), 8) AS rad, round(value * 1000, 4) AS m, round(value * 1609.344, 3) AS miles_m FROM events")
@@ -272,7 +272,7 @@ def iso_texts(s, d):
 
 @query(f"WITH {REC} SELECT rec_id, CAST(round(sqrt(-2 * ln((CAST('0x' || substr(sha256(rec_id || '|7.1'), 1, 12) AS BIGINT) + 0.5) / 281474976710656)) * cos(2 * pi() * ((CAST('0x' || substr(sha256(rec_id || '|7.2'), 1, 12) AS BIGINT) + 0.5) / 281474976710656)), 6) AS DOUBLE) AS noise FROM r")
 def seeded_noise(s, d):
-    return base(s, d).select("rec_id", F.round(events_layer.gaussian(["rec_id"], 7), 6).alias("noise"))
+    return once(s, d).select("rec_id", F.round(events_layer.gaussian(["rec_id"], 7), 6).alias("noise"))
 
 
 # Joins.
@@ -337,7 +337,7 @@ UNION ALL SELECT 'speed_high', count(*) FILTER (speed > 70) FROM r UNION ALL SEL
 def dataset_rules(s, d):
     """A written dataset validated from its manifest, order by the rows' places in the files."""
     cols = ["rec_id", "ts", "lat", "lon", "speed_mps", "device_id", "trip_id"]
-    m = dataset(s, {"records": base(s, d, *cols).orderBy("rec_id")}, profile="core")
+    m = dataset(s, {"records": once(s, d, *cols).orderBy("rec_id")}, profile="core")
     _, data, _ = M.validate_dataset(s, m, "strict")
     return s.createDataFrame([(k, data.counts[k]) for k in ("lat_range", "lon_range", "speed_mps_negative", "speed_high", "ts_order")], "rule string, n long")
 
@@ -456,7 +456,7 @@ def manifest_states(s, d):
 
 @query("SELECT DISTINCT rec_id, CASE WHEN ts >= TIMESTAMPTZ '2021-01-04 08:00:00+00' THEN 'two' WHEN ts >= TIMESTAMPTZ '2021-01-04 00:00:00+00' THEN 'one' END AS profile FROM records")
 def manifest_configs(s, d):
-    return asof.step_value(base(s, d), M.config_history(s, _M).select("ts", "profile"), "ts").select("rec_id", "profile")
+    return asof.step_value(once(s, d), M.config_history(s, _M).select("ts", "profile"), "ts").select("rec_id", "profile")
 
 
 @query("SELECT epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n_messages, count(DISTINCT trip_id) AS n_trips FROM records")

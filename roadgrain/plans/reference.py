@@ -1,7 +1,7 @@
 """Queries of the engine's own operators over the test tables, each beside its SQL twin.
 
 ``records`` holds copies of rows sent again; ``base`` takes each rec_id once and leaves it partitioned by trip, so the
-windows that follow need no further shuffle.
+windows that follow need no further shuffle. ``once`` is for the queries without windows.
 """
 
 from __future__ import annotations
@@ -38,6 +38,12 @@ def base(s: SparkSession, d: str, *cols: str) -> DataFrame:
     return scalars.nan_to_null(table(s, d, "records").select(*keep)).repartition("trip_id").dropDuplicates(["trip_id", "rec_id"])
 
 
+def once(s: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Each row of records once, without an order by trip: copies meet in a partial aggregation before the shuffle."""
+    keep = list(dict.fromkeys(["rec_id", "trip_id", "ts", *cols]))
+    return scalars.nan_to_null(table(s, d, "records").select(*keep)).distinct()
+
+
 def obd(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "obd_points").where("trip_id is not null").distinct()
 
@@ -73,7 +79,7 @@ def scan_summary(s, d):
 
 @query(f"WITH {REC} SELECT rec_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM r WHERE lat IS NOT NULL AND lon IS NOT NULL")
 def gnss_view(s, d):
-    return frame.gnss_view(base(s, d, "lat", "lon")).select("rec_id", r6("lat").alias("lat"), r6("lon").alias("lon"))
+    return frame.gnss_view(once(s, d, "lat", "lon")).select("rec_id", r6("lat").alias("lat"), r6("lon").alias("lon"))
 
 
 @query("SELECT DISTINCT rec_id, trip_id FROM records WHERE ts >= TIMESTAMPTZ '2021-01-04 06:00:00+00' AND ts <= TIMESTAMPTZ '2021-01-04 12:00:00+00'")
@@ -84,7 +90,7 @@ def filter_time(s, d):
 
 @query(f"WITH {REC} SELECT rec_id, device_id, trip_id FROM r")
 def select_fields(s, d):
-    return frame.select_fields(base(s, d, "device_id"), ["rec_id", "no_such_field", "device_id", "trip_id"])
+    return frame.select_fields(once(s, d, "device_id"), ["rec_id", "no_such_field", "device_id", "trip_id"])
 
 
 @query(f"WITH {REC}, k AS (SELECT rec_id, trip_id, us, CAST(floor(us / 2000000.0) AS BIGINT) AS g, lat FROM r) SELECT rec_id, CASE WHEN n > 1 AND g = pg THEN NULL ELSE round(lat, 6) END AS lat FROM (SELECT *, lag(g) {W} AS pg, row_number() {W} AS n FROM k)")
@@ -105,10 +111,10 @@ def event_defaults(s, d):
     return frame.event_defaults(e, ["flag", "absent_flag"], ["note"])
 
 
-@query("SELECT user_id AS device, event_id, round(value, 6) AS speed, 'sensor' AS \"context.kind\" FROM events")
+@query("SELECT user_id AS device, event_id, round(value, 6) AS speed, 'sensor' AS \"context.source.kind\" FROM events")
 def provider_map(s, d):
     e = frame.map_provider(table(s, d, "events").select("user_id", "event_id", "value"), {"user_id": "device", "value": "speed"})
-    return frame.add_context(e.withColumn("speed", r6("speed")), "context", {}).withColumn("context.kind", F.lit("sensor"))
+    return frame.add_context(e.withColumn("speed", r6("speed")), "source", {"kind": "sensor"})
 
 
 @query("SELECT event_id, epoch_us(ts) AS ts_us, round(value, 6) AS lat FROM events")
@@ -184,7 +190,7 @@ def alignment_metrics(s, d):
 @query(f"WITH {REC} SELECT r.rec_id, coalesce(t.acc_frame, 'raw') AS acc_frame FROM r LEFT JOIN trips t ON r.trip_id = t.trip_id AND r.ts >= t.started_at AND r.ts <= t.ended_at")
 def acc_frame_tag(s, d):
     p = table(s, d, "trips").select("trip_id", "started_at", "ended_at", "acc_frame", F.lit(1).alias("ord"))
-    return asof.interval_tag(base(s, d), p, "ts", "acc_frame", "raw", TRIP, "started_at", "ended_at").select("rec_id", "acc_frame")
+    return asof.interval_tag(once(s, d), p, "ts", "acc_frame", "raw", TRIP, "started_at", "ended_at").select("rec_id", "acc_frame")
 
 
 @query("SELECT DISTINCT rec_id, CASE WHEN ts >= TIMESTAMPTZ '2021-01-04 03:00:00+00' AND ts <= TIMESTAMPTZ '2021-01-04 09:00:00+00' THEN 'partial' WHEN ts >= TIMESTAMPTZ '2021-01-04 06:00:00+00' THEN 'compensated' ELSE 'raw' END AS acc_frame FROM records")
@@ -195,13 +201,13 @@ def acc_frame_case(s, d):
 
 @query(f"WITH {REC}, t AS (SELECT trip_id, min(device_id) AS d FROM trips GROUP BY 1) SELECT r.rec_id, CASE WHEN regexp_matches(r.trip_id, '^[A-Z]+-[0-9]') THEN coalesce(t.d, 'unknown') ELSE 'unknown' END AS device_id FROM r LEFT JOIN t USING (trip_id)")
 def device_lookup(s, d):
-    return asof.lookup(base(s, d), table(s, d, "trips").select("trip_id", "device_id"), "trip_id", "device_id", "unknown", r"^[A-Z]+-[0-9]").select("rec_id", "device_id")
+    return asof.lookup(once(s, d), table(s, d, "trips").select("trip_id", "device_id"), "trip_id", "device_id", "unknown", r"^[A-Z]+-[0-9]").select("rec_id", "device_id")
 
 
 @query(f"WITH {REC} SELECT rec_id FROM r JOIN (SELECT trip_id FROM trips WHERE carrier_state IN ('mounted_driving', 'mounted_idle')) t USING (trip_id)")
 def carrier_filter(s, d):
     t = table(s, d, "trips").where(F.col("carrier_state").isin("mounted_driving", "mounted_idle"))
-    return frame.keep_keys(base(s, d), t, "trip_id").select("rec_id")
+    return frame.keep_keys(once(s, d), t, "trip_id").select("rec_id")
 
 
 @query(f"WITH {REC}, c AS (SELECT trip_id, epoch_us(started_at) AS us, profile_name FROM trips) SELECT r.rec_id, c.profile_name FROM r ASOF LEFT JOIN c ON r.trip_id = c.trip_id AND r.us >= c.us")
@@ -214,8 +220,8 @@ def config_step(s, d):
 def positional_join(s, d):
     w = F.expr("row_number() over (partition by trip_id order by ts, rec_id) - 1")
     n = base(s, d, "lat").withColumn("n", w)
-    k = base(s, d, "lat").where("lat is not null").select(F.col("trip_id").alias("t"), F.col("rec_id").alias("fix_id"), F.expr("row_number() over (partition by trip_id order by ts, rec_id) - 1").alias("k"))
-    return n.join(k.withColumn("_at", F.col("k") * 4), (F.col("trip_id") == F.col("t")) & (F.col("n") == F.col("_at")), "left").select("rec_id", "fix_id")
+    k = base(s, d, "lat").where("lat is not null").select("trip_id", F.col("rec_id").alias("fix_id"), w.alias("k"))
+    return asof.positional_join(n, k, "n", "k", 4, by=TRIP).select("rec_id", "fix_id")
 
 
 # Introspection and validation.
@@ -230,12 +236,12 @@ SENSORS = [*S.cols("gnss"), *S.cols("accel"), *S.cols("gyro"), *S.cols("obd"), *
 
 @query(f"WITH {REC} SELECT {_PSEL} FROM (SELECT count(*) AS n_rows, {_PRES} FROM r)")
 def sensor_presence(s, d):
-    return introspect.sensor_presence(base(s, d, *SENSORS))
+    return introspect.sensor_presence(once(s, d, *SENSORS))
 
 
 @query(f"WITH {REC} SELECT trip_id, {_PSEL} FROM (SELECT trip_id, count(*) AS n_rows, {_PRES} FROM r GROUP BY 1)")
 def sensor_presence_by_trip(s, d):
-    return introspect.sensor_presence(base(s, d, *SENSORS), TRIP)
+    return introspect.sensor_presence(once(s, d, *SENSORS), TRIP)
 
 
 @query(f"""WITH {REC} SELECT count(*) AS n_rows, count(*) FILTER (lat < -90 OR lat > 90) AS lat_range, count(*) FILTER (lon < -180 OR lon > 180) AS lon_range,
@@ -243,12 +249,12 @@ count(*) FILTER (heading < 0 OR heading >= 360) AS heading_range, count(*) FILTE
 CAST(CASE WHEN count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) = 0 THEN 1 ELSE 0 END AS BIGINT) AS no_fix, count(*) FILTER (speed > 70) AS speed_high, count(*) FILTER (speed >= 100) AS speed_impossible,
 CAST(CASE WHEN bool_and(coalesce(gx, 0) = 0 AND coalesce(gy, 0) = 0 AND coalesce(gz, 0) = 0) AND bool_or(coalesce(gx, 1) = 0 OR coalesce(gy, 1) = 0 OR coalesce(gz, 1) = 0) THEN 1 ELSE 0 END AS BIGINT) AS gyro_zero_filled FROM r""")
 def rule_counts_strict(s, d):
-    return rule_counts(base(s, d, "lat", "lon", "heading_deg", "speed_mps", "speed_obd_mps", *S.cols("gyro")), "strict")
+    return rule_counts(once(s, d, "lat", "lon", "heading_deg", "speed_mps", "speed_obd_mps", *S.cols("gyro")), "strict")
 
 
 @query(f"WITH {REC} SELECT trip_id, count(*) AS n_rows, count(*) FILTER (lat < -90 OR lat > 90) AS lat_range, count(*) FILTER (lon < -180 OR lon > 180) AS lon_range, count(*) FILTER (speed < 0) AS speed_mps_negative FROM r GROUP BY 1")
 def rule_counts_by_trip(s, d):
-    return rule_counts(base(s, d, "lat", "lon", "speed_mps"), "basic", TRIP)
+    return rule_counts(once(s, d, "lat", "lon", "speed_mps"), "basic", TRIP)
 
 
 @query(f"WITH {REC} SELECT rec_id FROM (SELECT rec_id, us, lag(us) OVER (PARTITION BY trip_id ORDER BY rec_id) AS p FROM r) WHERE us < p")
@@ -353,7 +359,12 @@ def stop_runs(s, d):
     return x.select("trip_id", us("start_ts").alias("start_us"), us("end_ts").alias("end_us"), "n_rows")
 
 
-@query(None)
+_CURVES = f"""{LOC}, w AS (SELECT *, lead(lat) OVER x AS na, lead(lon) OVER x AS no FROM g WINDOW x AS (PARTITION BY trip_id ORDER BY us, rec_id)),
+m AS (SELECT rec_id, (lon - po) * kx AS ax, (lat - pa) * ky AS ay, (no - lon) * kx AS bx, (na - lat) * ky AS b2 FROM (SELECT *, cos(radians(lat)) * radians(1) * 6371000 AS kx, radians(1) * 6371000 AS ky FROM w)),
+k AS (SELECT rec_id, 2 * (ax * b2 - ay * bx) AS c, sqrt(ax*ax + ay*ay) * sqrt(bx*bx + b2*b2) * sqrt((ax+bx)*(ax+bx) + (ay+b2)*(ay+b2)) AS n FROM m), q AS (SELECT CASE WHEN n <> 0 THEN abs(c / n) END AS c FROM k)"""
+
+
+@query(f"WITH {_CURVES} SELECT CASE WHEN c IS NULL THEN NULL WHEN c > 1 / 25.0 THEN 'hairpin' WHEN c > 1 / 75.0 THEN 'sharp' WHEN c > 1 / 200.0 THEN 'moderate' WHEN c > 1 / 1000.0 THEN 'gentle' ELSE 'straight' END AS curve_class, count(*) AS n FROM q GROUP BY 1")
 def curve_classes(s, d):
     return windows.curve_radius(fixes(s, d), TRIP, ORDER).groupBy("curve_class").agg(F.count("*").alias("n"))
 
@@ -361,18 +372,18 @@ def curve_classes(s, d):
 # Aggregations.
 @query(f"WITH {REC} SELECT trip_id, epoch_us(date_trunc('minute', ts)) AS minute_us, round(avg(speed), 5) AS avg_speed_mps, count(*) AS n_rows FROM r GROUP BY 1, 2")
 def minute_rollup(s, d):
-    m = A.minute_rollup(base(s, d, "speed_mps"), TRIP)
+    m = A.minute_rollup(once(s, d, "speed_mps"), TRIP)
     return m.select("trip_id", us("minute").alias("minute_us"), r6("avg_speed_mps", 5).alias("avg_speed_mps"), "n_rows")
 
 
 @query(f"WITH {REC} SELECT trip_id, count(*) AS n_rows FROM r GROUP BY 1 ORDER BY n_rows DESC, trip_id LIMIT 5")
 def top_n_trips(s, d):
-    return frame.top_keys(base(s, d), "trip_id", 5)
+    return frame.top_keys(once(s, d), "trip_id", 5)
 
 
 @query(f"WITH {REC} SELECT rec_id FROM r WHERE trip_id IN (SELECT trip_id FROM r GROUP BY 1 HAVING count(*) >= 300)")
 def long_trips_only(s, d):
-    return frame.at_least(base(s, d), "trip_id", 300).select("rec_id")
+    return frame.at_least(once(s, d), "trip_id", 300).select("rec_id")
 
 
 def real(f: str) -> str:
@@ -385,17 +396,17 @@ _FIELDS = ["ts", "lat", "lon", "speed_mps", "heading_deg", "altitude_gps_m", "hd
 
 @query(" UNION ALL ".join(f"SELECT '{f}' AS field, " + ("0.0" if f == "mx_uT" else f"round(avg(CASE WHEN {f} IS NOT NULL THEN 1.0 ELSE 0.0 END), 6)") + " AS coverage FROM " + ("(SELECT 1)" if f == "mx_uT" else "(SELECT rec_id, any_value(" + real(f) + ") AS " + f + " FROM records GROUP BY 1)") for f in _FIELDS))
 def completeness(s, d):
-    return A.completeness(base(s, d, *[f for f in _FIELDS if f not in ("mx_uT", "ts")]), _FIELDS).withColumn("coverage", r6("coverage"))
+    return A.completeness(once(s, d, *[f for f in _FIELDS if f not in ("mx_uT", "ts")]), _FIELDS).withColumn("coverage", r6("coverage"))
 
 
 @query("WITH b AS (SELECT rec_id, " + ", ".join(f"any_value({real(f)}) AS {f}" for f in _FIELDS if f != "mx_uT") + " FROM records GROUP BY 1) SELECT round(100 * (" + " + ".join(f"avg(CASE WHEN {f} IS NOT NULL THEN 1.0 ELSE 0.0 END)" for f in _FIELDS if f != "mx_uT") + f") / {len(_FIELDS)}, 4) AS score_pct, CAST(1 AS BIGINT) AS n_empty FROM b")
 def completeness_score(s, d):
-    return A.completeness_score(base(s, d, *[f for f in _FIELDS if f not in ("mx_uT", "ts")]), _FIELDS).withColumn("score_pct", r6("score_pct", 4))
+    return A.completeness_score(once(s, d, *[f for f in _FIELDS if f not in ("mx_uT", "ts")]), _FIELDS).withColumn("score_pct", r6("score_pct", 4))
 
 
 @query(f"WITH {REC} SELECT trip_id, round(100 * avg(CASE WHEN lat IS NOT NULL THEN 1.0 ELSE 0.0 END), 5) AS coverage_pct FROM r GROUP BY 1")
 def gps_coverage(s, d):
-    return A.coverage_pct(base(s, d, "lat"), "lat", TRIP).withColumn("coverage_pct", r6("coverage_pct", 5))
+    return A.coverage_pct(once(s, d, "lat"), "lat", TRIP).withColumn("coverage_pct", r6("coverage_pct", 5))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -411,7 +422,7 @@ def trip_distance(s, d):
 
 @query(f"WITH {REC} SELECT trip_id, count(*) AS n_records, count(lat) AS n_gps, count(ax) AS n_imu, count(gx) AS n_gyro, count(speed_obd) AS n_obd FROM r GROUP BY 1")
 def trip_summary(s, d):
-    return A.sensor_counts(base(s, d, "lat", "ax_mps2", "gx_rad_s", "speed_obd_mps"), TRIP)
+    return A.sensor_counts(once(s, d, "lat", "ax_mps2", "gx_rad_s", "speed_obd_mps"), TRIP)
 
 
 @query(f"WITH {REC}, g AS (SELECT trip_id, us, lat, lon, lag(lat) {W} AS pa, lag(lon) {W} AS po FROM r WHERE lat IS NOT NULL AND lon IS NOT NULL), t AS (SELECT trip_id, max(us) - min(us) AS d FROM r GROUP BY 1) SELECT (SELECT count(DISTINCT device_id) FROM r) AS n_devices, (SELECT count(*) FROM t) AS n_trips, (SELECT count(*) FROM r) AS n_messages, (SELECT round(sum({hav('pa', 'po', 'lat', 'lon', 6371.0088)}), 2) FROM g) AS distance_km, (SELECT round(sum(d) / 3.6e9, 5) FROM t) AS duration_hours")
@@ -422,7 +433,7 @@ def volume(s, d):
 
 @query(f"WITH {REC} SELECT trip_id, round(m, 5) AS mean_norm, CASE WHEN m > 8 THEN 'raw' WHEN m < 2 THEN 'compensated' WHEN m IS NOT NULL THEN 'partial' END AS acc_frame FROM (SELECT trip_id, avg({NORM}) AS m FROM r GROUP BY 1)")
 def acc_frame_detect(s, d):
-    return A.acc_frame(base(s, d, *S.cols("accel")), TRIP).withColumn("mean_norm", r6("mean_norm", 5))
+    return A.acc_frame(once(s, d, *S.cols("accel")), TRIP).withColumn("mean_norm", r6("mean_norm", 5))
 
 
 @query(f"WITH {REC}, x AS (SELECT trip_id, {NORM} AS n, speed, stddev_samp({NORM}) OVER (PARTITION BY trip_id ORDER BY us RANGE BETWEEN 2000000 PRECEDING AND CURRENT ROW) AS sd FROM r) SELECT trip_id, round(avg(n), 5) AS rest_norm, count(n) AS n_rest FROM x WHERE coalesce(speed < 0.5, false) OR coalesce(sd < 0.3, false) GROUP BY 1")
@@ -437,7 +448,7 @@ _STATE = f"CASE WHEN coalesce(mf > 0.05, false) OR coalesce(sm > 6, false) THEN
 
 @query(f"WITH {REC}, g AS ({_SIG}) SELECT trip_id, n_samples, round(mf, 6) AS speed_moving_frac, round(sm, 5) AS speed_max, {_STATE} AS carrier_state, CASE WHEN coalesce(mf > 0.05, false) OR coalesce(sm > 6, false) OR coalesce(volt > 9, false) THEN 'high' WHEN volt IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM g")
 def carrier_state(s, d):
-    c = A.carrier_state(base(s, d, "lat", "lon", "speed_mps", "vehicle_voltage_v", *S.cols("accel")), TRIP)
+    c = A.carrier_state(once(s, d, "lat", "lon", "speed_mps", "vehicle_voltage_v", *S.cols("accel")), TRIP)
     return c.select("trip_id", "n_samples", r6("speed_moving_frac").alias("speed_moving_frac"), r6("speed_max", 5).alias("speed_max"), "carrier_state", "confidence")
 
 
@@ -461,11 +472,18 @@ def event_rules(s, d):
     return e.select("trip_id", us().alias("us"), "event_type")
 
 
-@query(None)
+def _uniform(n: int) -> str:
+    return f"(CAST('0x' || substr(sha256(rec_id || '|7.{n}'), 1, 12) AS BIGINT) + 0.5) / 281474976710656"
+
+
+@query(f"WITH {REC}, l AS (SELECT rec_id, lag(ax) {W} + 0.001 * (us - min(us) OVER (PARTITION BY trip_id)) / 1e6 + 0.05 * sqrt(-2 * ln({_uniform(1)})) * cos(2 * pi() * {_uniform(2)}) AS x FROM r) SELECT rec_id, round(round_even(x / 0.01, 0) * 0.01, 2) + 0 AS noisy FROM l WHERE abs(x / 0.01 - floor(x / 0.01) - 0.5) > 1e-6 OR x IS NULL")
 def noise_model(s, d):
     r = base(s, d, "ax_mps2")
-    n = events_layer.add_noise(r, "ax_mps2", 0.05, 7, bias_per_s=0.001, quantum=0.01, delay=1, by=TRIP, out="noisy")
-    return n.select("rec_id", r6("noisy").alias("noisy"))
+    n = events_layer.add_noise(r, "ax_mps2", 0.05, 7, bias_per_s=0.001, delay=1, by=TRIP, ts="ts", out="x", key=["rec_id"])
+    x = F.col("x") / 0.01
+    # Values between two quanta may fall to either.
+    n = n.where((F.abs(x - F.floor(x) - 0.5) > 1e-6) | F.col("x").isNull())
+    return n.select("rec_id", (F.round(F.bround(x) * 0.01, 2) + 0.0).alias("noisy"))
 
 
 # Scalars.
@@ -506,7 +524,7 @@ def text_normal(s, d):
 @query(f"WITH {REC} SELECT rec_id, round({NORM}, 5) AS norm FROM r")
 def accel_norm(s, d):
     n = scalars.norm3(*(F.col(c).cast("double") for c in S.cols("accel")))
-    return base(s, d, *S.cols("accel")).select("rec_id", r6(n, 5).alias("norm"))
+    return once(s, d, *S.cols("accel")).select("rec_id", r6(n, 5).alias("norm"))
 
 
 @query("SELECT event_id, round(" + hav("45 + (event_id % 1000) * 1e-4", "5 + (event_id * 7 % 1000) * 1e-4", "45", "5") + ", 4) AS metres FROM events")
