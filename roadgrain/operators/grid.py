@@ -49,7 +49,8 @@ def regular_grid(records: DataFrame, slot_s: int = SLOT_S, least: float = 0.5) -
     """(trip_id, slot_start_s, n_readings, support, lat, lon, state), every slot from a trip's first to its last."""
     rows = slot_rows(records, slot_s)
     m = slot_moments(rows, slot_s)
-    ends = rows.groupBy("trip_id").agg(F.min("slot").alias("a"), F.max("slot").alias("z"))
+    # The count keeps the distinct rows below least and greatest, which the optimiser would drop, and so the shared exchange.
+    ends = rows.groupBy("trip_id").agg(F.min("slot").alias("a"), F.max("slot").alias("z"), F.count("*").alias("n")).where("n > 0")
     pieces = ends.select("trip_id", "a", "z", F.explode(F.sequence(F.floor(F.col("a") / PIECE), F.floor(F.col("z") / PIECE))).alias("p"))
     grid = pieces.select("trip_id", F.explode(F.sequence(F.greatest("a", F.col("p") * PIECE), F.least("z", F.col("p") * PIECE + PIECE - 1))).alias("slot"))
     # Moments about the middle of the slot d away: t' = t - d. Kernel 1 - (t'/h)^2 with h = 1.5 slots.
