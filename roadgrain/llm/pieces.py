@@ -120,11 +120,12 @@ def whole_characters(raw: bytes) -> tuple[str, int]:
     return raw[a:z].decode("utf-8", "surrogatepass"), len(raw) - (z - a)
 
 
-def split_documents(documents: DataFrame, limit: int = 512, overlap: int = 64, name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR, partitions: int | None = None) -> DataFrame:
+def split_documents(documents: DataFrame, limit: int = 512, overlap: int = 64, name: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR, partitions: int | None = None, content: bool = True) -> DataFrame:
     """One row per piece: its place, ids (with the overlap in front), text and the kind of cut before it.
 
     An overlap starts at a token, which may be inside a character: ``text`` then starts with the next one, and
-    ``cut_bytes`` counts the bytes left out of it (``ids`` are whole). ``partitions`` is as in ``encode_corpus``.
+    ``cut_bytes`` counts the bytes left out of it (``ids`` are whole). Without ``content`` ids and text are null, where only the pieces' places are asked for.
+    ``partitions`` is as in ``encode_corpus``.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be under the limit")
@@ -137,10 +138,13 @@ def split_documents(documents: DataFrame, limit: int = 512, overlap: int = 64, n
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 ids, parts = split_text(text, enc, limit, overlap)
                 for n, (a, z, o, kind) in enumerate(parts):
+                    if not content:
+                        rows.append((doc_id, n, len(parts), len(ids), a, z - a, o, kind, None, None, None))
+                        continue
                     # An uncut text needs no decoding: it is the piece.
                     words, gone = (text or "", 0) if len(parts) == 1 else whole_characters(enc.decode(ids[a:z]))
                     rows.append((doc_id, n, len(parts), len(ids), a, z - a, o, kind, ids[a:z], words, gone))
-            yield pd.DataFrame(rows, columns=[re.split(r"\s", c)[0] for c in SCHEMA.split(", ")])
+            yield pd.DataFrame(rows, columns=[re.split(r"\s", c)[0] for c in SCHEMA.split(", ")], dtype=None if content else object)
 
     d = documents.select("doc_id", "text")
     return (d.repartition(partitions) if partitions else d).mapInPandas(run, SCHEMA)
@@ -148,4 +152,4 @@ def split_documents(documents: DataFrame, limit: int = 512, overlap: int = 64, n
 
 def oversized(documents: DataFrame, **kw) -> DataFrame:
     """(doc_id) of the documents that had to be split."""
-    return split_documents(documents, **kw).where((F.col("piece_no") == 0) & (F.col("n_pieces") > 1)).select("doc_id")
+    return split_documents(documents, content=False, **kw).where((F.col("piece_no") == 0) & (F.col("n_pieces") > 1)).select("doc_id")
