@@ -90,7 +90,9 @@ _DECLARED = [re.compile(p, re.I) for p in (r"^(.*)$", r"^\s*unit\s*[:=]\s*([^;]*
 _VALUE, _LAT = re.compile(rf"\s*({NUMBER})\s*(.*)$"), re.compile(rf"\s*[NSns]?\s*({NUMBER})")
 _DMS = re.compile(r"([NSEW]?)\s*([+-]?\d{1,3})\s*(?:°|d|\s)\s*(\d{1,2})\s*(?:['′’]|m|\s)\s*(\d{1,2}(?:[.,]\d+)?)\s*(?:\"|''|″|”|s)?\s*([NSEW]?)$", re.I)
 _DEG = re.compile(r"\s*[NSns]?\s*[+-]?\d{1,2}(?:[.,]\d+)?\s*°\s*[NSns]?\s*$")
-_DIGITS, _POINT, _LEADING_ZERO = re.compile(r"\s*[NSns]?\s*[+-]?(\d+)"), re.compile(r"\d[.,]\d"), re.compile(r"\s*[NSns]?\s*[+-]?0\d")
+_DIGITS, _POINT = re.compile(r"\s*[NSns]?\s*[+-]?(\d+)"), re.compile(r"\d[.,]\d")
+_BITS = {u: 1 << k for k, u in enumerate(FACTORS["lat"])}
+_SPELLED: dict[tuple[str, str], str | None] = {}
 
 
 def _spelled(text: str) -> str:
@@ -156,23 +158,30 @@ def declared_unit(field: str, text: str | None) -> str | None:
     return None
 
 
-def fits(raw: str, n: float, digits: int, unit: str) -> bool:
-    """Whether a numeral can be a latitude in that notation: digits, point, least and most."""
-    n = abs(n)
-    if unit == "deg":
-        return n <= 90 and not _LEADING_ZERO.match(raw)
-    if unit == "ddmm":
-        return 3 <= digits <= 4 and n <= 9000 and n % 100 < 60 and bool(_POINT.search(raw))
-    if unit == "e7":
-        return n <= 9e8 and not _POINT.search(raw)
-    return unit != "dms"
+def possible(raw: str, n: float) -> int:
+    """Which notations of a latitude a numeral can have, as bits in the order of FACTORS: by digits, point, least and most."""
+    m, n, point = _DIGITS.match(raw), abs(n), _POINT.search(raw) is not None
+    whole = m.group(1) if m else ""
+    deg = n <= 90 and not (len(whole) > 1 and whole[0] == "0")
+    ddmm = point and 3 <= len(whole) <= 4 and n <= 9000 and n % 100 < 60
+    return deg * _BITS["deg"] | ddmm * _BITS["ddmm"] | (not point and n <= 9e8) * _BITS["e7"]
+
+
+def spelled_unit(field: str, text: str) -> str | None:
+    """Unit code of a spelling beside a value, remembered per text."""
+    key = (field, text)
+    got = _SPELLED.get(key, "")
+    if got == "":
+        got = CODES.get((field, _spelled(text)))
+        _keep(_SPELLED, key, got)
+    return got
 
 
 def value_parts(field: str, text: str | None) -> tuple | None:
     """(number, degrees of a dms writing, unit in the value, units of a latitude that the digits allow, south), or None."""
     if text is None:
         return None
-    raw = text.translate(_BLANKS).strip(" ")
+    raw = (text if text.isascii() else text.translate(_BLANKS)).strip(" ")
     if raw.lower() in MISSING:
         return None
     if field != "lat":
@@ -185,7 +194,7 @@ def value_parts(field: str, text: str | None) -> tuple | None:
         m = _VALUE.match(raw)
         if not m or not (n := _number(m.group(1))) < 1e300:
             return None
-        return (n, None, CODES.get((field, _spelled(m.group(2)))), 0, False) if n > -1e300 else None
+        return (n, None, spelled_unit(field, m.group(2)), 0, False) if n > -1e300 else None
     south = raw[:1] in "sS" or raw[-1:] in "sS"
     m = _DMS.match(raw)
     if m:
@@ -195,8 +204,7 @@ def value_parts(field: str, text: str | None) -> tuple | None:
     m = _LAT.match(raw)
     if not m or not abs(n := _number(m.group(1))) < 1e300:
         return None
-    can = sum(1 << k for k, u in enumerate(FACTORS["lat"]) if fits(raw, n, len(_DIGITS.match(raw).group(1)) if _DIGITS.match(raw) else 0, u))
-    return n, None, "deg" if _DEG.match(raw) else None, can, south
+    return n, None, "deg" if "°" in raw and _DEG.match(raw) else None, possible(raw, n), south
 
 
 def _number(text: str) -> float:
