@@ -18,7 +18,7 @@ from roadgrain import validate as V
 from roadgrain.adapters import load, sources
 from roadgrain.functions import scalars
 from roadgrain.operators import asof, events_layer, frame, position, windows
-from roadgrain.plans.reference import LOC, NORM, ORDER, REC, TRIP, base, fixes, once, query, r6
+from roadgrain.plans.reference import LOC, NORM, ORDER, REC, TRIP, base, fixes, hav, once, query, r6
 from roadgrain.session import scratch
 from roadgrain.sources import readers, sinks, table
 
@@ -175,6 +175,22 @@ def adapter_stride(s, d):
     return load("stride", s, str(f.parent.parent), with_gyro=False).select(ts_us().alias("us"), r6("ax_mps2", 4).alias("ax"), r6("lat").alias("lat"), "trip_id")
 
 
+@query(f"WITH {_LOCATED}, n AS (SELECT *, row_number() OVER (ORDER BY rec_id) - 1 AS n FROM q) SELECT us, round(ay, 4) AS ay, round(radians(gx), 7) + 0 AS gx, round(lat, 6) AS lat, CASE WHEN n % 3 = 0 THEN 50.0 ELSE 7.5 END AS speed, CASE n % 4 WHEN 0 THEN 'dirt' WHEN 1 THEN 'asphalt' ELSE 'unknown' END AS road_surface, 'PVS_3' AS trip_id FROM n")
+def adapter_pvs(s, d):
+    """One folder of the source; labels stand beside the readings, line by line."""
+    f = scratch(s)
+    r = position.numbered(_located(s, d), "n", ["rec_id"]).repartition(1).sortWithinPartitions("rec_id")
+    acc = [F.col(f"a{c}_mps2").cast("double").alias(f"acc_{c}_dashboard") for c in "xyz"]
+    gyro = [F.col(f"g{c}_rad_s").cast("double").alias(f"gyro_{c}_dashboard") for c in "xyz"]
+    mag = [F.lit(1.0).alias(f"mag_{c}_dashboard") for c in "xyz"]
+    clock = F.format_string("%d.%06d", F.floor(ts_us() / 1000000), F.pmod(ts_us(), F.lit(1000000))).alias("timestamp")
+    speed = F.when(F.col("n") % 3 == 0, 70.0).otherwise(7.5).alias("speed")
+    one_file(r.select(clock, *acc, *gyro, *mag, F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), speed, F.col("n").alias("timestamp_gps")), f / "PVS 3" / "dataset_gps_mpu_left.csv")
+    one_file(r.select((F.col("n") % 4 == 0).cast("int").alias("dirt_road"), (F.col("n") % 4 < 2).cast("int").alias("asphalt_road")), f / "PVS 3" / "dataset_labels.csv")
+    x = load("pvs", s, str(f), labels=True)
+    return x.select(ts_us().alias("us"), r6("ay_mps2", 4).alias("ay"), (r6("gx_rad_s", 7) + 0.0).alias("gx"), r6("lat").alias("lat"), r6("speed_mps", 1).alias("speed"), "road_surface", "trip_id")
+
+
 @query("SELECT event_id AS n, round(CAST(CAST(event_id % 7 AS DOUBLE) * 9.80665 AS FLOAT), 4) AS ax, CASE WHEN event_id % 10 = 0 AND event_id // 10 < (SELECT count(*) FROM events) THEN CAST(event_id // 10 % 90 AS DOUBLE) END AS lat FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id FROM events)")
 def adapter_uah(s, d):
     """A synthetic clock on the accelerometer's rows; position k stands on row 10 k."""
@@ -330,6 +346,14 @@ def curvatures(s, d):
     return x.where("abs(curvature_1_m) < 0.01").select("rec_id", (r6("curvature_1_m", 4) + 0.0).alias("curvature"))
 
 
+@query(f"WITH {REC}, u AS (SELECT us, min(lat) AS lat, min(lon) AS lon FROM r WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY us HAVING count(*) = 1), g AS (SELECT us, lat, lon, lag(us) OVER (ORDER BY us) AS pu, lag(lat) OVER (ORDER BY us) AS pa, lag(lon) OVER (ORDER BY us) AS po FROM u) SELECT us, round(least(greatest(({hav('pa', 'po', 'lat', 'lon')}) / ((us - pu) / 1e6), 0), 80), 2) AS speed FROM g WHERE pu IS NOT NULL")
+def speed_across_trips(s, d):
+    """The derived speed over the whole frame, trips or not, in blocks of time; instants of one fix only."""
+    u = fixes(s, d).groupBy("ts").agg(F.count("*").alias("n"), F.min("lat").alias("lat"), F.min("lon").alias("lon")).where("n = 1")
+    x = windows.speed_from_positions(u, [], "ts", cap=80.0, out="speed")
+    return x.where("speed is not null").select(ts_us().alias("us"), r6("speed", 2).alias("speed"))
+
+
 # Validation.
 @query(f"""WITH {REC}, o AS (SELECT trip_id, us, lag(us) OVER (PARTITION BY trip_id ORDER BY rec_id) AS p FROM r)
 SELECT 'lat_range' AS rule, count(*) FILTER (lat < -90 OR lat > 90) AS n FROM r UNION ALL SELECT 'lon_range', count(*) FILTER (lon < -180 OR lon > 180) FROM r UNION ALL SELECT 'speed_mps_negative', count(*) FILTER (speed < 0) FROM r
