@@ -10,8 +10,8 @@ into Parquet files by the bytes written, and range metadata tell which trips and
 Defined results: a record has a readable instant and a lat and lon that are finite numbers, in JSON and CSV alike; header,
 blank and broken-off lines (no JSON object, or another number of cells than the header) are no records; a null or empty
 payload gives none; trip_id is read from file_path where it is null or blank, and a record of neither has the trip null;
-a speed that is missing or no finite number equals null, and -0.0 equals 0.0; repeated fragment rows count once; empty
-tables give no rows.
+a speed that is missing or no finite number equals null, and -0.0 equals 0.0; repeated fragment rows count once; a missing
+fragment_id comes after all others; empty tables give no rows.
 
 Skew: the first pass leaves one of a batch's equal records for the shuffle, so a record that is a third of all rows meets
 as one row per batch; a trip is spread over its time. The second pass opens a run when the merge reaches its first key,
@@ -41,6 +41,8 @@ RANGE_US = 600_000_000
 BATCH = 20_000
 #: Stands for a missing speed where records are compared: no record holds it.
 NONE = -math.inf
+#: Stands for a missing fragment_id, which comes after all others.
+NO_ID = (1 << 63) - 1
 RECORD = "trip_id string, us long, lat double, lon double, speed_mps double, fragment_id long, line_no int, is_copy boolean"
 PIECE = "trip_id string, slot long, first_us long, us array<long>, lat array<double>, lon array<double>, speed_mps array<double>, fragment_id array<long>, line_no array<int>, is_copy boolean"
 RANGES = "out_file string, trip_id string, n_records long, first_us long, last_us long, file_records long, file_bytes long"
@@ -142,7 +144,7 @@ def _first_pass(batches):
     for b in batches:
         runs: dict[str | None, list[list[tuple]]] = defaultdict(list)
         for fragment_id, trip, path, payload in zip(*(b.column(c).to_pylist() for c in ("fragment_id", "trip_id", "file_path", "payload"))):
-            run = records_of(payload, fragment_id)
+            run = records_of(payload, NO_ID if fragment_id is None else fragment_id)
             if run:
                 if any(p > q for p, q in zip(run, run[1:])):
                     run.sort()
@@ -198,12 +200,12 @@ def _second_pass(batches):
             while box[0] is not None and box[0][:2] == key:
                 q, box[0] = box[0], next(stream, None)
                 if q[9]:
-                    rows.extend((q[0], us, lat, lon, v, f, n, True) for us, lat, lon, v, f, n in zip(*q[3:9]))
+                    rows.extend((q[0], us, lat, lon, v, None if f == NO_ID else f, n, True) for us, lat, lon, v, f, n in zip(*q[3:9]))
                 else:
                     yield q
 
         for x, copy in _told(_merged(of_key())):
-            rows.append((key[0], x[0], x[1], x[2], None if x[3] == NONE else x[3], x[4], x[5], copy))
+            rows.append((key[0], x[0], x[1], x[2], None if x[3] == NONE else x[3], None if x[4] == NO_ID else x[4], x[5], copy))
             if len(rows) >= BATCH:
                 yield flush()
         p = box[0]

@@ -10,7 +10,7 @@ explanation wins. A way that no vehicle could have driven, as to a ping thrown f
 nothing if the device is then still there. A travel is split at silences longer than ``gap_s``: the parts' ways are
 added up, and the silence adds none.
 
-Defined results: repeated ping_ids count once; pings without device or ts are dropped; unlocated pings (null, NaN, out
+Defined results: repeated ping_ids count once; pings without ping_id, device or ts are dropped; unlocated pings (null, NaN, out
 of range, both 0) neither start nor end anything; equal ts are ordered by ping_id; a device that never stops for
 ``least_s`` has no stops and no trips; pings before the first and after the last stop are no trip; empty tables give
 no rows.
@@ -284,7 +284,7 @@ def _pieces(items: DataFrame) -> DataFrame:
 
 def find_stops(pings: DataFrame, radius: float = 60.0, least_s: float = 300.0, gap_s: float = 1800.0, bridge: int = 2) -> DataFrame:
     """(device_id, start_us, end_us, first_ping_id, last_ping_id, lat, lon, n_pings, next_path_m), one row per stop."""
-    p = located(pings.where("device_id is not null and ts is not null").select("ping_id", "device_id", "ts", "lat", "lon"))
+    p = located(pings.where("device_id is not null and ts is not null and ping_id is not null").select("ping_id", "device_id", "ts", "lat", "lon"))
     p = p.select("device_id", F.unix_micros("ts").alias("us"), "ping_id", "lat", "lon").withColumn("day", F.floor(F.col("us") / DAY_US))
     p = hashed(thinned(p), "device_id", "day").sortWithinPartitions("device_id", "day", "us", "ping_id")
     d = p.mapInArrow(_first_pass(radius, bridge, int(gap_s * 1e6)), ITEM)

@@ -118,3 +118,10 @@ def test_merge_opens_runs_as_they_begin(monkeypatch):
     monkeypatch.setattr(compaction, "_unpack", counted)
     got = [x[0] for x in compaction._merged(iter(runs))]
     assert got == sorted(got) and len(got) == 50 * 14 and most[0] < 8
+
+
+def test_missing_ids_and_paths(spark):
+    line = '{"ts": 1000, "lat": 1, "lon": 2}'
+    rows = [(None, "t", None, None, None, line), (7, " ", "x/t/p.jsonl", None, None, line + "\n" + line), (None, None, None, None, None, line), (8, "t", None, None, None, "   \n ")]
+    got = sorted(((r.trip_id or "", r.fragment_id or -1, r.line_no, r.is_copy) for r in merge_fragments(spark.createDataFrame(rows, S)).collect()))
+    assert got == [("", -1, 1, False), ("t", -1, 1, True), ("t", 7, 1, False), ("t", 7, 2, True)]

@@ -69,7 +69,7 @@ def test_no_stop_and_odd_rows(spark):
     w = Walk(3)
     w.drive(40)
     assert find_stops(frame(spark, w.rows)).count() == 0
-    odd = [(1, None, T0, 1.0, 1.0), (2, "d", None, 1.0, 1.0), (3, "d", T0, 0.0, 0.0), (4, "d", T0, float("nan"), 1.0), (5, "d", T0, None, None), (6, "e", T0, 1.0, 1.0)]
+    odd = [(1, None, T0, 1.0, 1.0), (2, "d", None, 1.0, 1.0), (3, "d", T0, 0.0, 0.0), (4, "d", T0, float("nan"), 1.0), (5, "d", T0, None, None), (6, "e", T0, 1.0, 1.0), (None, "e", T0, 1.0, 1.0)]
     assert stops_and_trips(frame(spark, odd)).count() == 0
     assert stops_and_trips(frame(spark, odd).limit(0)).count() == 0
 
