@@ -45,10 +45,7 @@ def asof_join(
             F.max(F.when(F.col("_side") == 0, F.struct("_us", "_ord"))).alias("_hi"), F.min(F.when(F.col("_side") == 0, F.struct("_us", "_ord"))).alias("_lo"),
             F.max_by("_c", F.when(F.col("_side") == 0, F.struct("_us", "_ord"))).alias("_hc"), F.min_by("_c", F.when(F.col("_side") == 0, F.struct("_us", "_ord"))).alias("_lc"),
         )
-        w = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
-        edges = edges.select(
-            *by, "_b", F.last("_hc", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lc", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after")
-        )
+        edges = _around(edges, by, "_hc", "_lc")
         cond = F.col("x._b").eqNullSafe(F.col("e._b"))
         for c in by:
             cond = cond & F.col(f"x.{c}").eqNullSafe(F.col(f"e.{c}"))
@@ -74,11 +71,39 @@ def asof_join(
     return x.select(*out, (F.col("_h._us") - F.col("_us")).alias("delta_us"))
 
 
-def alignment_metrics(left: DataFrame, right: DataFrame, on: str = "ts", by: list[str] | None = None, tolerance_us: int = 5_000) -> DataFrame:
-    """One row: pairs, max_abs_delta_us, within_ratio and exceeds (strictly over the tolerance)."""
-    j = asof_join(left.select(*(by or []), on), right.select(*(by or []), on), on, by)
-    d = F.abs("delta_us")
-    return j.where("delta_us is not null").agg(
+def _around(edges: DataFrame, by: list[str], last: str, first: str) -> DataFrame:
+    """(by, _b, _before, _after): the ``last`` of the nearest bucket before that has one, the ``first`` of the nearest after.
+
+    Both frames begin where their order begins: one that reaches to its end is read anew for every row.
+    """
+    w = Window.partitionBy(*by) if by else Window
+    earlier, later = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))
+    return edges.select(*by, "_b", F.last(last, True).over(earlier).alias("_before"), F.last(first, True).over(later).alias("_after"))
+
+
+def alignment_metrics(left: DataFrame, right: DataFrame, on: str = "ts", by: list[str] | None = None, tolerance_us: int = 5_000, bucket_us: int | None = None) -> DataFrame:
+    """One row: pairs, max_abs_delta_us, within_ratio and exceeds (strictly over the tolerance) of the nearest join.
+
+    Only times are needed, so a bucket gets the right times around it as rows of its own and nothing is joined.
+    """
+    by = by or []
+    bucket_us = bucket_us or (None if by else BUCKET)
+
+    def side(df: DataFrame, is_left: bool) -> DataFrame:
+        us = F.unix_micros(on) if dict(df.dtypes)[on].startswith("timestamp") else F.col(on)
+        return df.where(F.col(on).isNotNull()).select(*by, us.alias("_us"), F.lit(is_left).alias("_left"))
+
+    both, keys = side(left, True).unionByName(side(right, False)), by
+    rus = F.when(~F.col("_left"), F.col("_us"))
+    if bucket_us:
+        both, keys = both.withColumn("_b", F.floor(F.col("_us") / bucket_us)), [*by, "_b"]
+        ends = _around(both.groupBy(*keys).agg(F.max(rus).alias("_hi"), F.min(rus).alias("_lo")), by, "_hi", "_lo")
+        ends = ends.select(*keys, F.explode(F.array("_before", "_after")).alias("_us"))
+        both = both.unionByName(ends.where("_us is not null").withColumn("_left", F.lit(False)))
+    w = Window.partitionBy(*keys).orderBy("_us", "_left")
+    x = both.withColumn("_r", rus).withColumn("_p", F.max("_r").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.expr("lead(_r) IGNORE NULLS").over(w)).where("_left")
+    d = F.col("_d")
+    return x.select(F.least(F.col("_us") - F.col("_p"), F.col("_n") - F.col("_us")).alias("_d")).where("_d is not null").agg(
         F.count("*").alias("pairs"), F.max(d).alias("max_abs_delta_us"), F.avg((d <= tolerance_us).cast("double")).alias("within_ratio"), F.count_if(d > tolerance_us).alias("exceeds")
     )
 

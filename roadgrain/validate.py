@@ -19,9 +19,9 @@ from roadgrain import schema as S
 from roadgrain.errors import AlignmentNotice, FrameError, MeaningError, UnitError
 from roadgrain.functions.scalars import flatten_structs
 from roadgrain.operators.aggregates import rest_norm
-from roadgrain.operators.asof import alignment_metrics, interval_case
+from roadgrain.operators.asof import BUCKET, alignment_metrics, interval_case
 from roadgrain.operators.introspect import presence_exprs
-from roadgrain.operators.position import ORDER, out_of_order, positioned
+from roadgrain.operators.position import ORDER, out_of_order, positioned, run_counts
 from roadgrain.operators.windows import rest_flag
 
 LEVELS = ("basic", "strict", "manifest", "full")
@@ -183,11 +183,17 @@ def check_increasing(df: DataFrame, col: str = "timestamp_ns", order: list[str]
         raise MeaningError(f"no column {col}")
     if not isinstance(df.schema[col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         raise MeaningError(f"{col} is no integer column")
-    if df.where(F.col(col).isNull()).limit(1).count():
-        raise MeaningError(f"{col} has nulls")
     if order is None:
-        df, order = positioned(df), ORDER
-    if order_violations(df, col, order, strict=True):
+        df = positioned(df)
+        nulls, back, mixed = run_counts(df, col, strict=True).first()
+        if mixed and not nulls:
+            back = order_violations(df, col, ORDER, strict=True)
+    else:
+        nulls = df.where(F.col(col).isNull()).limit(1).count()
+        back = 0 if nulls else order_violations(df, col, order, strict=True)
+    if nulls:
+        raise MeaningError(f"{col} has nulls")
+    if back:
         raise MeaningError(f"{col} is not strictly increasing")
 
 
@@ -197,8 +203,7 @@ def _legacy(df: DataFrame, name: str, order: list[str] | None, finite: dict[str,
     if absent:
         raise FrameError(f"{name}: columns are absent: {absent}")
     use = [f for f in want if f.name in df.columns]
-    pos = positioned(df) if order is None else df
-    cast = pos.withColumns({f.name: F.col(f.name).try_cast(f.dataType.simpleString()) for f in use})
+    cast = df.withColumns({f.name: F.col(f.name).try_cast(f.dataType.simpleString()) for f in use})
     checks = {f"{f.name} is null or unreadable": F.count_if(F.col(f.name).isNull()) for f in use if not f.nullable}
     for c, (lo, hi) in finite.items():
         if c in df.columns:
@@ -212,7 +217,7 @@ def _legacy(df: DataFrame, name: str, order: list[str] | None, finite: dict[str,
     for k in checks:
         if row[k] and not k.startswith("~"):
             raise MeaningError(f"{name}: {k} in {row[k]} rows")
-    check_increasing(cast, "timestamp_ns", order or ORDER)
+    check_increasing(cast, "timestamp_ns", order)
     return cast.select(*[f.name for f in use], *[c for c in df.columns if c not in {f.name for f in use}]), [f"{name}: {k[1:]} in {row[k]} rows" for k in checks if k.startswith("~") and row[k]]
 
 
@@ -233,7 +238,7 @@ def validate_events(df: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 def check_alignment(left: DataFrame, right: DataFrame, tolerance_ns: int = 5_000_000, on: str = "timestamp_ns", raise_error: bool = False) -> dict:
     """Action: alignment metrics; no pairs raise, more than tolerated warns or raises."""
-    m = alignment_metrics(left, right, on, tolerance_us=tolerance_ns).first().asDict()
+    m = alignment_metrics(left, right, on, tolerance_us=tolerance_ns, bucket_us=BUCKET * 1000).first().asDict()
     if not m["pairs"]:
         raise MeaningError("the tables have no pairs in time")
     if m["exceeds"]:

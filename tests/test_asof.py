@@ -50,6 +50,23 @@ def test_alignment(spark):
     assert alignment_metrics(left, spark.createDataFrame([], "ts long")).first().pairs == 0
 
 
+@pytest.mark.parametrize("by,bucket", [([], 7), ([], 1), ([], None), (["k"], None), (["k"], 7)])
+def test_alignment_equals_nearest_join(spark, by, bucket):
+    rng = random.Random(5)
+    side = lambda n, span: spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([None, *range(-span, span)])) for _ in range(n)], "k string, ts long")
+    left, right = side(90, 200), side(25, 150)
+    d = [abs(r.delta_us) for r in asof_join(left.select(*by, "ts"), right.select(*by, "ts"), "ts", by).collect() if r.delta_us is not None]
+    m = alignment_metrics(left, right, "ts", by, 5, bucket).first()
+    assert (m.pairs, m.max_abs_delta_us, m.exceeds) == (len(d), max(d), sum(x > 5 for x in d)) and abs(m.within_ratio - sum(x <= 5 for x in d) / len(d)) < 1e-9
+
+
+def test_many_buckets_take_linear_time(spark):
+    # A window that reaches to the end of its order is read anew for every bucket.
+    left, right = (spark.range(20).select((F.col("id") * 10 + k).alias("ts")) for k in (0, 1))
+    for x in (asof_join(left, right, "ts", bucket_us=10), alignment_metrics(left, right, bucket_us=10)):
+        assert "unboundedfollowing" not in x._jdf.queryExecution().toString().lower()
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([("a", t) for t in (0, 5, 10, 15, 30)] + [("z", 5)], "k string, t int")
     p = spark.createDataFrame([("a", 5, 10, "x", 1), ("a", 8, 20, "y", 2), ("a", 25, None, "z", 3)], "k string, s int, e int, frame string, ord int")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from roadgrain import schema as S
 from roadgrain.errors import AlignmentNotice, FrameError, MeaningError, UnitError
 from roadgrain.operators import introspect
-from roadgrain.validate import check_alignment, check_units, validate, validate_events, validate_imu, validate_nested, validate_schema, validate_tables, validate_trajectory
+from roadgrain.validate import check_alignment, check_increasing, check_units, validate, validate_events, validate_imu, validate_nested, validate_schema, validate_tables, validate_trajectory
 
 
 def record(spark, gyro=False, n=50):
@@ -111,6 +111,39 @@ def test_alignment_rules(spark):
     assert not validate_tables({"trajectory": a}, {"speed": "kn"})[0]
 
 
+def test_alignment_of_nanoseconds_in_ten_minutes(spark, monkeypatch):
+    from roadgrain import validate as V
+
+    seen, real = [], V.alignment_metrics
+    monkeypatch.setattr(V, "alignment_metrics", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    second = 1_000_000_000
+    m = V.check_alignment(traj(spark, ns=[k * second for k in range(50)]), imu(spark, ns=[k * second + 7 for k in range(50)]))
+    assert (m["pairs"], m["max_abs_delta_us"], m["exceeds"]) == (50, 7, 0)
+    assert "6.0E11" in seen[0]._jdf.queryExecution().toString()
+
+
+def test_order_of_sorted_and_shuffled_files(spark, tmp_path):
+    from roadgrain.operators import position as P
+
+    t = imu(spark, ns=range(30_000, 0, -1)).coalesce(1)
+    t.write.parquet(str(tmp_path / "back"))
+    back = spark.read.parquet(str(tmp_path / "back"))
+    assert validate_imu(back.orderBy("timestamp_ns"))[0].count() == 30_000  # a sorted frame's order is not the file's
+    with pytest.raises(MeaningError):
+        validate_imu(back)
+    assert tuple(P.run_counts(P.positioned(back), "timestamp_ns", True).first()) == (0, 29_999, 0)
+    # Rows that tasks read in another order than the files have them.
+    back.orderBy("timestamp_ns").coalesce(1).write.parquet(str(tmp_path / "up"))
+    up = spark.read.parquet(str(tmp_path / "up")).repartition(3)
+    assert P.run_counts(P.positioned(up), "timestamp_ns", True).first().mixed
+    assert validate_imu(up)[0].count() == 30_000
+    odd = spark.read.parquet(str(tmp_path / "up")).withColumn("timestamp_ns", F.when(F.col("timestamp_ns") == 20_000, F.lit(19_999)).otherwise(F.col("timestamp_ns")))
+    assert tuple(P.run_counts(P.positioned(odd), "timestamp_ns", True).first()) == (0, 1, 0) and P.run_counts(P.positioned(odd), "timestamp_ns").first().back == 0
+    with pytest.raises(MeaningError, match="nulls"):
+        check_increasing(odd.withColumn("timestamp_ns", F.nullif("timestamp_ns", F.lit(10_001))))
+    check_increasing(odd.limit(0))
+
+
 def test_named_schemas(spark):
     df = traj(spark)
     assert validate_schema(df, "trajectory") == []
